@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced_simhash, token_counts
+from . import bitsliced_simhash, rlz_dedup, token_counts
 from .common import documents
 
 
@@ -19,5 +19,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced_simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_simhash_near_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
