@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced_simhash, line_frequency, rlz_dedup, token_counts
+from . import bitsliced_simhash, family_langid, line_frequency, rlz_dedup, token_counts
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality(documents(spark, sf_dir))
 
 
+def op7_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return family_langid.identify(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,5 +31,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_line_frequency_quality, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
