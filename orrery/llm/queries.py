@@ -7,10 +7,14 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced_simhash, chat_snapshots, disclosure_pii, family_langid, line_frequency, rlz_dedup, token_counts
+from . import bitsliced_simhash, chat_snapshots, disclosure_pii, family_langid, line_frequency, raking, rlz_dedup, token_counts
 from .common import documents
 
 
+def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(documents(spark, sf_dir))
+
+
 def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse(spark.read.parquet(os.path.join(sf_dir, "conversations.parquet")))
 
@@ -39,5 +43,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_raked_mixture, op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op4_chat_snapshots": chat_snapshots.ORACLE}
