@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced_simhash, chat_snapshots, disclosure_pii, family_langid, line_frequency, permutation_index, raking, rlz_dedup, token_counts
+from . import bitsliced_simhash, chat_snapshots, disclosure_pii, family_langid, gumbel_segmenter, line_frequency, permutation_index, raking, rlz_dedup, token_counts
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel_segmenter.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op3_raked_mixture, op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_gumbel_segmentation, op3_raked_mixture, op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op4_chat_snapshots": chat_snapshots.ORACLE}
