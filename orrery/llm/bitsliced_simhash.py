@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import byte_texts, external_id, internal_id, prepared, signed
 
@@ -206,3 +206,14 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
     classes = named.join(groups, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(external_id("did").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of docs whose id is the least of its component, one for each; same columns.
+
+    Rows that repeat an id are copies, so one of them stays; a null id stays only in a component without other ids."""
+    found = near_duplicates(docs, id_col=id_col, **settings)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(internal_id("doc_id").alias("did__")).distinct()
+    one = Window.partitionBy("did__").orderBy("did__")  # the join leaves rows dealt and sorted by it
+    rows = docs.join(kept, internal_id(id_col) == F.col("did__")).withColumn("row__", F.row_number().over(one))
+    return rows.where("row__ = 1").select(*docs.columns)

@@ -94,7 +94,7 @@ def uniform(did: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), did.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, *, fraction: float = 0.7, alpha: float = 0.9, min_share: float = 1 / 200, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, fraction: float = 0.8, alpha: float = 0.9, min_share: float = 1 / 200, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, weight (1 / probability), sampled of every row of docs.
 
     Args:
