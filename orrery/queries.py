@@ -415,13 +415,18 @@ def matrix_round_trip(spark, d):
     return M.matrix_shape(M.read_matrix(spark, path))
 
 
-# the published error series of one recorded run (fixed values)
-SERIES = [0.139061, 0.127158, 0.125150, 0.124765, 0.124692, 0.124685, 0.124684, 0.124684, 0.124684, 0.124684]
-_SERIES_SQL = "(VALUES " + ", ".join(f"({i}, {v / 2}, {v})" for i, v in enumerate(SERIES, 1)) + ") AS h(epoch, loss, test_rmse)"
+# Losses and test errors by epoch of one published run that stopped early.
+LOSSES = [0.082822, 0.032198, 0.014541, 0.019410, 0.022346, 0.012172, 0.007799, 0.007772, 0.007772, 0.007772]
+SERIES = [0.325251, 0.187310, 0.172489, 0.214503, 0.190808, 0.126143, 0.124684, 0.124684, 0.124684, 0.124684]
+_SERIES_SQL = "(VALUES " + ", ".join(f"({i}, {loss}, {v})" for i, (loss, v) in enumerate(zip(LOSSES, SERIES), 1)) + ") AS h(epoch, loss, test_rmse)"
+
+
+def _recorded() -> list[dict]:
+    return [{"epoch": i, "loss": loss, "test_rmse": v} for i, (loss, v) in enumerate(zip(LOSSES, SERIES), 1)]
 
 
 def _series(spark):
-    return H.history_frame(spark, [{"epoch": i, "loss": v / 2, "test_rmse": v} for i, v in enumerate(SERIES, 1)])
+    return H.history_frame(spark, _recorded())
 
 
 @query(f"SELECT epoch::INTEGER AS epoch, round(loss::DOUBLE, 6) AS loss, test_rmse::DOUBLE AS test_rmse FROM {_SERIES_SQL}")
@@ -434,7 +439,7 @@ def history_csv_round_trip(spark, d):
 @query(f"SELECT epoch::INTEGER AS epoch, test_rmse::DOUBLE AS test_rmse, 7 AS best_epoch FROM {_SERIES_SQL}")
 def history_json_round_trip(spark, d):
     path = work_folder(spark, "run")
-    H.write_run(spark, path, {"hidden": 64}, min(SERIES), 7, [{"epoch": i, "loss": v / 2, "test_rmse": v} for i, v in enumerate(SERIES, 1)])
+    H.write_run(spark, path, {"hidden": 64}, min(SERIES), 7, _recorded())
     return H.read_run(spark, path).select(F.explode("history").alias("h"), "best_epoch").select("h.epoch", "h.test_rmse", "best_epoch")
 
 
