@@ -38,7 +38,7 @@ def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> np.ndarray:
     sizes = [len(r["v"]) for r in drawn]
     size = max(sorted(set(sizes)), key=sizes.count) if sizes else 0
     distinct = dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == size)
-    return spread_out(np.array([*distinct], np.float64).reshape(-1, size), pivots)
+    return spread_out(np.array([*distinct], np.float64).reshape(len(distinct), size), pivots)
 
 
 def spread_out(x: np.ndarray, n: int) -> np.ndarray:
