@@ -168,3 +168,29 @@ def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     rows = docs.join(marked, internal_id(id_col) == F.col("did__"))
     text = stripped(docs[text_col].cast("string"), F.col("gone__"))
     return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
+#: The same rows with lines and windows as strings.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d
+), g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g
+), covered AS (SELECT doc_id, i + unnest(range(0, 5)) AS p FROM c WHERE n > 1
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM covered GROUP BY doc_id
+), l AS (SELECT doc_id, host, unnest(lines) AS line FROM d
+), k AS (SELECT doc_id, host, line, md5(trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) [1:16] AS key, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k GROUP BY doc_id
+), keys AS (SELECT doc_id, list_sort(list(DISTINCT key)) AS ks FROM k GROUP BY doc_id
+), signs AS (SELECT DISTINCT k.host, k.key, CASE WHEN k.key = ks[1] THEN coalesce(ks[2], '') ELSE ks[1] END AS lo, CASE WHEN k.key = ks[-1] THEN CASE WHEN len(ks) > 1 THEN ks[-2] ELSE '' END ELSE ks[-1] END AS hi FROM k JOIN keys ON k.doc_id = keys.doc_id
+), found AS (SELECT host, key, count(*) AS n FROM signs GROUP BY host, key
+), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
+), over AS (SELECT f.host, f.key FROM found f JOIN hosts h ON f.host = h.host WHERE f.n > 5 AND f.n > h.docs * 0.05::DOUBLE
+), gone AS (SELECT doc_id, sum(words) AS n FROM k SEMI JOIN over ON k.host = over.host AND k.key = over.key GROUP BY doc_id
+), m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(gone.n, 0))::BIGINT AS n_words_kept
+  FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+), v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words_kept < n_words AND (n_words_kept < 10 OR n_words_kept < n_words * 0.3::DOUBLE) AS depleted FROM m)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM v
+"""

@@ -199,3 +199,17 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, with_text: bool = True,
     packed_texts = texts.mapInArrow(pack, "did long, size int, packed binary")
     kept = packed_texts.join(spans, "did", "left").mapInArrow(body, "did long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     return kept.select(external_id("did").alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256", "spans")
+
+
+#: The same rows by comparing all 20-word windows as strings; for small tables.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d
+), s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM g
+), f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM s
+), p AS (SELECT doc_id, i + unnest(range(0, 20)) AS p FROM f WHERE nth > 1
+), r AS (SELECT doc_id, list(DISTINCT p) AS ps FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
