@@ -7,27 +7,41 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.session import prepared
+
+
+#: Keys of a stretch in two-level prefix sums.
+STRETCH = 4096
+
+
+def prefix_starts(sizes: DataFrame, key: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """sizes with start: the exclusive prefix sum of n in the order of the whole number key, for each by.
+
+    Sums run within stretches of keys and over the totals of the stretches, so no window holds all keys."""
+    rows = sizes.withColumn("stretch__", F.floor(F.col(key) / STRETCH))
+    inside = Window.partitionBy(*by, "stretch__").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("stretch__").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "stretch__").agg(F.sum(n).alias("total__"))
+    before = totals.select(*by, "stretch__", F.coalesce(F.sum("total__").over(over), F.lit(0)).alias("before__"))
+    own = rows.withColumn("own__", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return own.join(before, [*by, "stretch__"]).withColumn("start", F.col("own__") + F.col("before__")).drop("stretch__", "own__", "before__")
+
 
 def chunk_offsets(df: DataFrame, chunk: Column) -> DataFrame:
-    """A4: chunk, n_rows, start: exclusive prefix sums of the chunk sizes. The window runs over chunks, not rows."""
-    sizes = df.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n_rows"))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("chunk", "n_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
+    """A4: chunk, n_rows, start: exclusive prefix sums of the sizes of numbered chunks."""
+    return prefix_starts(df.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n_rows")), "chunk", "n_rows")
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
     """A4: df with its rows numbered 0..N-1 by order, without a window over all rows.
 
-    Rows are range-partitioned and frozen by a checkpoint; a task numbers its own rows, and the partition sizes
-    (one number for each partition) give the offsets."""
-    from ..plans.session import prepared
-
+    Rows are range-partitioned and frozen by a checkpoint; a task numbers its own rows, and the offsets, one row
+    for each partition (which bounds the broadcast), are added."""
     prepared(df.sparkSession)
     frozen = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id__", F.monotonically_increasing_id()).checkpoint()
     part, own = F.shiftright("id__", 33), F.col("id__").bitwiseAND(F.lit((1 << 33) - 1))
-    starts = {r["chunk"]: r["start"] for r in chunk_offsets(frozen, part).collect()}
-    start = F.try_element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), part) if starts else F.lit(0)
-    return frozen.withColumn(name, (own + start).cast("long")).drop("id__")
+    starts = chunk_offsets(frozen, part).select(F.col("chunk").alias("chunk__"), F.col("start").alias("start__"))
+    return frozen.join(F.broadcast(starts), part == F.col("chunk__")).withColumn(name, (own + F.col("start__")).cast("long")).drop("id__", "chunk__", "start__")
 
 
 def shard_bounds(n: int, shards: int) -> list[tuple[int, int]]:
@@ -80,9 +94,9 @@ def batch_of(position: Column, size: int) -> Column:
 
 
 def block_order(df: DataFrame, size: int, key: Column, index: str = "row_idx") -> DataFrame:
-    """Block (of consecutive rows), rank of the block by key. Ranks are found on one row for each block."""
+    """Block (of consecutive rows), rank of the block by key, from 1. Blocks are ranked, not rows, and without one window over them all."""
     blocks = df.select(F.floor(F.col(index) / size).alias("block")).distinct().withColumn("key__", key)
-    return blocks.select("block", F.row_number().over(Window.orderBy("key__", "block")).alias("block_rank"))
+    return dense_index(blocks, ["key__", "block"], "rank__").select("block", (F.col("rank__") + 1).cast("int").alias("block_rank"))
 
 
 def runs(df: DataFrame, group: str, physical: str) -> DataFrame:
@@ -105,8 +119,8 @@ def route(df: DataFrame, split: str = "split", index: str = "row_idx") -> DataFr
 
     Offsets are counted for ranges of consecutive rows, so no window holds a whole split."""
     span = F.floor(F.col(index) / (1 << 16))
-    sizes = df.groupBy(split, span.alias("span")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(split).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(split, "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start__"))
-    own = F.row_number().over(Window.partitionBy(split, "span").orderBy(index)) - 1
-    return df.withColumn("span", span).withColumn("own__", own).join(starts, [split, "span"]).withColumn("split_pos", F.col("own__") + F.col("start__")).drop("span", "own__", "start__")
+    sizes = df.groupBy(split, span.alias("span__")).agg(F.count("*").alias("n__"))
+    starts = prefix_starts(sizes, "span__", "n__", [split]).select(split, "span__", F.col("start").alias("start__"))
+    own = F.row_number().over(Window.partitionBy(split, "span__").orderBy(index)) - 1
+    placed = df.withColumn("span__", span).withColumn("own__", own).join(starts, [split, "span__"])
+    return placed.withColumn("split_pos", F.col("own__") + F.col("start__")).drop("span__", "own__", "start__")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Set only where the session names no shared checkpoint folder.
@@ -15,3 +18,14 @@ def prepared(spark: SparkSession) -> SparkSession:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return os.path.join(prepared(spark).sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -17,14 +17,18 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.indexing import batch_of, permute, random_key, shard_of
+from ..operators.indexing import batch_of, dense_index, permute, random_key, shard_of
 from ..operators.splitting import draw_key, minibatch
 from ..operators.stats import NoValidRows
 from .experiment import TrainConfig
 from .network import Network
 from .optimiser import Schedule, Sgd, scaled_lr
+from .session import drop_folder, work_folder
 from .stopping import EarlyStop
 
+#: Rows of a file of a batch: the tasks of a step.
+BATCH_FILE_ROWS = 1 << 16
+
 
 def matrix_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Features (rows by width, float64) and labels of a batch of (features, label)."""
@@ -107,7 +111,7 @@ class Trainer:
         self.theta = np.array(theta, np.float64)
 
     def fit(self, train: DataFrame, test: DataFrame | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> "Trainer":
-        """train and test: row_idx, features, label. transform is applied to both first (U1). Rows are numbered 0..n-1 by row_idx."""
+        """train and test: row_idx, features, label. transform is applied to both first (U1). For batches of one size row_idx should be dense (operators.indexing.dense_index); else it is numbered anew."""
         epochs = {"full_batch": self._full_batch, "sampled": self._sampled, "minibatch": self._minibatch}
         c = self.config
         if c.mode not in epochs:
@@ -116,9 +120,11 @@ class Trainer:
         if self.theta is None:
             self.theta = self.network.init(c.seed, c.init)
         train = train.select("row_idx", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        n = train.count()
+        n, last = train.agg(F.count("*"), F.max("row_idx")).first()
         if not n:
             raise NoValidRows("no rows to train on")
+        if c.mode == "minibatch" and last != n - 1:
+            train = dense_index(train.withColumnRenamed("row_idx", "row__"), ["row__"]).drop("row__").select("row_idx", "features", "label")
         schedule = Schedule(c.lr, scaled_lr(c.lr, c.workers, c.lr_scaling), c.epochs, c.warmup, c.schedule, c.step_size, c.gamma)
         self.stop = EarlyStop(c.patience, c.tolerance if c.mode == "full_batch" else c.min_delta)
         optimiser = Sgd(c.momentum, c.clip)
@@ -162,27 +168,23 @@ class Trainer:
         return loss, float(np.linalg.norm(gradient)), None
 
     def _minibatch(self, train: DataFrame, n: int, epoch: int, lr: float, optimiser: Sgd):
-        """Batches of a permutation. Rows are range-partitioned by batch and cached, so a step scans its own batch only."""
+        """Batches of a permutation: one shuffle an epoch writes a folder for each batch, and a step reads its own folder only."""
         c, size = self.config, self.config.batch * self.config.workers
         a, b = random_key(n, c.seed + epoch)
-        batch = batch_of(permute(F.col("row_idx"), n, a, b), size)
-        count = -(-n // size)
-        dealt = train.withColumn("batch", batch)
-        dealt = (dealt.repartitionByRange(min(count, 4096), "batch") if count > 1 else dealt).sortWithinPartitions("batch").persist(StorageLevel.MEMORY_AND_DISK)
+        dealt = train.withColumn("batch", batch_of(permute(F.col("row_idx"), n, a, b), size))
+        files = max(1, -(-size // BATCH_FILE_ROWS))
+        spark, path = train.sparkSession, work_folder(train.sparkSession, f"epoch-{epoch}")
+        dealt.repartition("batch", F.pmod("row_idx", F.lit(files))).write.partitionBy("batch").parquet(path)
         total, seen, first = 0.0, 0, math.nan
-        try:
-            for k in range(count):
-                m = reduced(dealt.where(F.col("batch") == k), self.network, self.theta)
-                if not m.n:
-                    continue  # row_idx may have gaps
-                loss, gradient = self._mean(m)
-                first = float(np.linalg.norm(gradient)) if math.isnan(first) else first
-                self._apply(gradient, lr, optimiser)
-                total, seen = total + loss * m.n, seen + m.n
-                if k % c.log_every == 0:
-                    self.steps.append({"k": k, "train_rmse": math.sqrt(m.sse / m.n), "lr": lr})
-        finally:
-            dealt.unpersist()
+        for k in range(-(-n // size)):
+            m = reduced(spark.read.schema(train.schema).parquet(f"{path}/batch={k}"), self.network, self.theta)
+            loss, gradient = self._mean(m)
+            first = float(np.linalg.norm(gradient)) if math.isnan(first) else first
+            self._apply(gradient, lr, optimiser)
+            total, seen = total + loss * m.n, seen + m.n
+            if k % c.log_every == 0:
+                self.steps.append({"k": k, "train_rmse": math.sqrt(m.sse / m.n), "lr": lr})
+        drop_folder(spark, path)
         return total / max(seen, 1), first, None
 
 

@@ -16,7 +16,7 @@ from .operators import indexing as I, scaling as N, splitting as W, stats as A
 from .plans import experiment as X, stopping as S
 from .plans.network import Network
 from .plans.optimiser import Schedule, scaled_lr
-from .plans.session import prepared
+from .plans.session import work_folder
 from .plans.trainer import Trainer, reduced, scored
 from .schema import FEATURES_16, FEATURES_8, NUMERIC, RAW, RAW_SCHEMA, TARGET
 from .sources import history as H, matrix as M, text as R
@@ -39,11 +39,6 @@ def query(sql: str | None = None):
     return add
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return os.path.join(prepared(spark).sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
-
-
 # ---------------------------------------------------------------- trips in SQL
 
 TRIPS = """trips AS (

@@ -109,3 +109,25 @@ def test_runs_rebuild_the_rows(spark):
 def test_rmse_by_hand(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], "p double, y double")
     assert A.error_measures(df, F.col("p"), F.col("y"), spread=10).first()["rmse_unscaled"] == pytest.approx(10 * math.sqrt(2.5))
+
+
+def test_prefix_sums_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(I, "STRETCH", 3)
+    df = spark.range(100).select((F.col("id") * F.col("id") % 23).alias("c"))
+    rows = I.chunk_offsets(df, F.col("c")).orderBy("chunk").collect()
+    start = 0
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_rows"]
+    routed = I.route(spark.range(50).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split")))
+    assert all(r["split_pos"] == (r["row_idx"] // 3 if r["split"] == "test" else r["row_idx"] - r["row_idx"] // 3 - 1) for r in routed.collect())
+
+
+def test_sparse_rows_are_numbered_for_batches(spark):
+    from orrery.plans.experiment import TrainConfig
+    from orrery.plans.network import Network
+    from orrery.plans.trainer import Trainer
+
+    df = spark.createDataFrame([(7 * i, [float(i % 5)], float(i % 5)) for i in range(50)], "row_idx long, features array<float>, label float")
+    t = Trainer(Network(1, 2), TrainConfig(batch=10, epochs=1, warmup=0, log_every=1)).fit(df)
+    assert [s["k"] for s in t.steps] == [0, 1, 2, 3, 4]
