@@ -8,7 +8,6 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from oracle import same_rows
 from orrery.llm import chat_snapshots as C, gumbel_segmenter as G, permutation_index as P, queries, raking as R
 
@@ -193,12 +192,3 @@ def test_a_long_conversation_keeps_its_order(spark):
     assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 1500)]
 
 
-def test_pipeline_stages(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    names, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, data).persist()
-        assert docs.columns == names and 0 < docs.count() <= before
-        before = docs.count()
-    out = corpus_pipeline.run(spark, data)
-    assert out.select("doc_id").distinct().count() == before
