@@ -85,8 +85,18 @@ def clean_trips(raw: DataFrame) -> DataFrame:
     return kept.withColumn("passenger_count", F.col("passenger_count").cast("int"))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row.
+
+    A generator of one row keeps the optimizer from copying costly expressions into every filter and projection above."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_times(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pickup": parse_timestamp(F.col(PICKUP)), "dropoff": parse_timestamp(F.col(DROPOFF))})
+    """pickup and dropoff; parsed once, here."""
+    if {"pickup", "dropoff"} <= {*df.columns}:
+        return df
+    return once(df, pickup=parse_timestamp(F.col(PICKUP)), dropoff=parse_timestamp(F.col(DROPOFF)))
 
 
 def with_duration(df: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def engineer_8(raw: DataFrame, keep: Sequence[str] = ("row_idx",)) -> DataFrame:
 
 def engineer_16(raw: DataFrame, keep: Sequence[str] = ("row_idx",)) -> DataFrame:
     """The sixteen features and the target, cleaned."""
-    return existing(with_calendar(with_duration(clean_trips(raw)).drop("pickup", "dropoff")), [*keep, *FEATURES_16, TARGET])
+    return existing(with_calendar(with_duration(clean_trips(raw))), [*keep, *FEATURES_16, TARGET])
 
 
 def impute_median(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.clean import once
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
@@ -19,10 +21,15 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
     every = lambda k: F.col("event_id") % k == 0
     kind = F.col("event_type")
     payment = F.when(kind == "click", 1).when(kind == "error", 2).when(kind == "purchase", 3).when(kind == "signup", 4).otherwise(5)
-    return e.select(
+    shown = once(
+        e,
+        tpep_pickup_datetime=F.when(every(97), "bad").otherwise(text(ts)),
+        tpep_dropoff_datetime=F.when(every(101), None).when(every(53), text(after(F.lit(-60)))).otherwise(text(after(F.floor(F.col("value") * 60)))),
+    )
+    return shown.select(
         F.col("event_id").alias("row_idx"),
-        F.when(every(97), "bad").otherwise(text(ts)).alias("tpep_pickup_datetime"),
-        F.when(every(101), None).when(every(53), text(after(F.lit(-60)))).otherwise(text(after(F.floor(F.col("value") * 60)))).alias("tpep_dropoff_datetime"),
+        "tpep_pickup_datetime",
+        "tpep_dropoff_datetime",
         F.when(every(89), "x").otherwise((F.col("event_id") % 10).cast("string")).alias("passenger_count"),
         (F.col("value") / 4).alias("trip_distance"),
         (F.col("user_id") % 6 + 1).alias("RatecodeID"),
