@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bitsliced_simhash, chat_snapshots, disclosure_pii, family_langid, gumbel_segmenter, line_frequency, permutation_index, raking, rlz_dedup, token_counts
 from .common import documents
@@ -21,7 +21,8 @@ def op2_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.mix(documents(spark, sf_dir))
+    out = raking.mix(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("probability", "weight")})
 
 
 def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +54,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_gumbel_segmentation, op3_raked_mixture, op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op4_chat_snapshots": chat_snapshots.ORACLE, "op6_line_frequency_quality": line_frequency.ORACLE, "op10_substring_dedup": rlz_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_raked_mixture": raking.ORACLE, "op4_chat_snapshots": chat_snapshots.ORACLE, "op6_line_frequency_quality": line_frequency.ORACLE, "op10_substring_dedup": rlz_dedup.ORACLE}

@@ -39,7 +39,7 @@ def tempered(totals: np.ndarray, alpha: float) -> np.ndarray:
     return powered / powered.sum() if powered.sum() else powered
 
 
-def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 300, tolerance: float = 1e-13) -> np.ndarray:
     """Fitted tokens per cell: marginals as in targets (absolute), no cell above what it has."""
     total = targets[0].sum()
     fitted = cells * (total / max(cells.sum(), 1e-300))
@@ -121,3 +121,40 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> D
     """The sampled rows of docs; same columns."""
     kept = mix(docs, id_col=id_col, **settings).where("sampled").select(internal_id("doc_id").alias("did__")).distinct()
     return docs.join(kept, internal_id(id_col) == F.col("did__"), "left_semi")
+
+
+def _oracle() -> str:
+    """The query's rows in SQL: the cells as lists, raked by a recursive query."""
+    topic = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{t}'" for t, p in TOPICS.items())
+    pools = ", ".join(f"p{d} AS (SELECT {d}, CASE WHEN sum(n_tokens) >= any_value(total) * (1 / 200::DOUBLE) THEN {d} ELSE '{POOLED}' END AS p FROM d, total GROUP BY {d})" for d in DIMENSIONS)
+    sums = ", ".join(f"m{d} AS (SELECT {d}, row_number() OVER (ORDER BY {d}) AS i, pow(sum(n), 0.9) / sum(pow(sum(n), 0.9)) OVER () * 0.8 * any_value(total) AS want FROM c, total GROUP BY {d})" for d in DIMENSIONS)
+    order = "ORDER BY " + ", ".join(f"c.{d}" for d in DIMENSIONS)
+    step = "SELECT k, f FROM it WHERE k < 300"
+    for d in DIMENSIONS:
+        step = f"SELECT k, f, list_transform(range(1, len(w{d}) + 1), lambda q: list_sum(list_filter(f, lambda v, j: g{d}[j] = q))) AS s FROM ({step}) AS x, a, t"
+        step = f"SELECT k, list_transform(f, lambda v, i: v * w{d}[g{d}[i]] / s[g{d}[i]]) AS f FROM ({step}) AS x, a, t"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE 'prose' END AS topic,
+    len(list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents)
+), total AS (SELECT sum(n_tokens)::DOUBLE AS total FROM d), {pools}, c AS (
+  SELECT psource.p AS source, plang.p AS lang, ptopic.p AS topic, sum(n_tokens)::DOUBLE AS n
+  FROM d JOIN psource ON d.source = psource.source JOIN plang ON d.lang = plang.lang JOIN ptopic ON d.topic = ptopic.topic GROUP BY 1, 2, 3
+), {sums}, a AS (
+  SELECT list(n {order}) AS cells, {", ".join(f"list(m{d}.i {order}) AS g{d}" for d in DIMENSIONS)}
+  FROM c {" ".join(f"JOIN m{d} ON c.{d} = m{d}.{d}" for d in DIMENSIONS)}
+), t AS (SELECT {", ".join(f"(SELECT list(want ORDER BY i) FROM m{d}) AS w{d}" for d in DIMENSIONS)}
+), it AS (
+  SELECT 0 AS k, list_transform(cells, lambda v: v * 0.8 * total / list_sum(cells)) AS f FROM a, total
+  UNION ALL
+  SELECT k + 1, list_transform(f, lambda v, i: least(v, cells[i])) FROM ({step}) AS x, a
+), ranked AS (SELECT c.*, row_number() OVER ({order}) AS i FROM c
+), prob AS (SELECT r.source, r.lang, r.topic, CASE WHEN n > 0 THEN f[i] / n ELSE 0 END AS share FROM ranked r, (SELECT f FROM it WHERE k = 300) AS fitted
+), u AS (SELECT *, ('0x' || md5('3:' || doc_id)[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d)
+SELECT doc_id, u.source, u.lang, u.topic, n_tokens, round(share, 6) AS probability, CASE WHEN share > 0 THEN round(1 / share, 6) END AS weight, u < share AS sampled
+FROM u JOIN psource ON u.source = psource.source JOIN plang ON u.lang = plang.lang JOIN ptopic ON u.topic = ptopic.topic
+  JOIN prob ON prob.source = psource.p AND prob.lang = plang.p AND prob.topic = ptopic.p
+"""
+
+
+ORACLE = _oracle()

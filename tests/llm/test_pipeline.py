@@ -81,7 +81,7 @@ def mixing(docs):
         wanted.append({c: v / sum(powered.values()) * 0.8 * total for c, v in powered.items()})
     tokens = {c: n[[x == c for x in cells]].sum() for c in set(cells)}
     fitted = {c: v * 0.8 for c, v in tokens.items()}
-    for _ in range(500):
+    for _ in range(300):
         before = dict(fitted)
         for i in range(3):
             sums = {}
@@ -89,7 +89,7 @@ def mixing(docs):
                 sums[c[i]] = sums.get(c[i], 0.0) + v
             fitted = {c: v * wanted[i][c[i]] / sums[c[i]] for c, v in fitted.items()}
         fitted = {c: min(v, tokens[c]) for c, v in fitted.items()}
-        if max(abs(fitted[c] - before[c]) for c in fitted) <= 1e-9 * 0.8 * total:
+        if max(abs(fitted[c] - before[c]) for c in fitted) <= 1e-13 * 0.8 * total:
             break
     u = lambda i: int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:13], 16) / 2**52
     return [d for d, c in zip(docs, cells) if u(d["doc_id"]) < fitted[c] / tokens[c]]

@@ -149,7 +149,7 @@ def test_line_counts_equal_brute_force(docs):
     assert got == want and want
 
 
-@pytest.mark.parametrize("name", ["op6_line_frequency_quality", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_raked_mixture", "op6_line_frequency_quality", "op10_substring_dedup"])
 def test_query_equals_sql(spark, data, name):
     same_rows(spark, data, queries.QUERIES[name], queries.ORACLES[name])
 
