@@ -124,18 +124,25 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, rem
     held = hits.where(F.size("base") > 0).select("did", "content", F.explode("base").alias("span"))
     held = held.select("did", "content", F.xxhash64("span.kind", "span.value").alias("entity"), "span.near")
     pairs = held.select("did", "content", "entity", F.explode("near").alias("term")).distinct()
+    total = float(max(docs.count(), 1))
+
+    def share_told(n_term: str) -> Column:
+        """PMI of term and entity as a share of the entity's information."""
+        ic = -F.log2(F.col("n_entity") / F.lit(total))
+        pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col(n_term)))
+        return F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+
     # contents first, then pairs: a group of copies is one content, and both sums combine before the shuffle
-    joint = pairs.groupBy("entity", "term", "content").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support).checkpoint()
+    counted = pairs.groupBy("entity", "term", "content").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support)
     entities = held.select("entity", "did").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # documents with the term next to any entity are a lower bound of those with the term: common words end here
+    least = pairs.select("term", "did").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    joint = counted.join(entities, "entity").join(least, "term").where(share_told("n_near") >= generalise).select("entity", "term", "n_both", "n_entity").checkpoint()
     wanted = joint.select(bucket(F.col("term")).alias("bucket")).distinct()
     words = docs.select(internal_id(id_col).alias("did"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term"))
     words = words.join(F.broadcast(wanted), bucket(F.col("term")) == F.col("bucket"), "left_semi").distinct()
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    known = joint.join(terms, "term").join(entities, "entity")
-    ic = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
-    told = known.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("told")).where(F.col("told") >= generalise)
+    told = joint.join(terms, "term").select("entity", "term", share_told("n_term").alias("told")).where(F.col("told") >= generalise)
     per = held.select("did", "entity").distinct().join(told, "entity").groupBy("did", "term").agg(F.max("told").alias("told"))
     return per.groupBy("did").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("told") >= remove, F.col("term"))).alias("removed")).checkpoint()
 
