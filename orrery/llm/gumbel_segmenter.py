@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import byte_texts, mixed, prepared
 
 #: Bytes of text worked on at once.
-WORK_BYTES = 6 << 20
+WORK_BYTES = 3 << 19
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]+|{SPACE}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -114,11 +114,13 @@ class Lattice:
         ends = np.cumsum(sizes) - 1
         self.start = ends - sizes + 1
         n = len(chars)
-        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the word's end
+        left = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)  # characters up to the word's end
         self.is_end = left == 0
-        node = np.flatnonzero(~self.is_end)
+        node = np.flatnonzero(~self.is_end).astype(np.int32)
         state = np.zeros(len(node), np.int32)
-        at, length, piece = [], [], []
+        at: list[np.ndarray] = []
+        length: list[np.ndarray] = []
+        piece: list[np.ndarray] = []
         single = np.zeros(n, bool)
         for d in range(vocabulary.longest):
             inside = left[node] > d
@@ -130,17 +132,18 @@ class Lattice:
                 break
             whole = vocabulary.piece[state] >= 0
             at.append(node[whole])
-            length.append(np.full(len(at[-1]), d + 1))
+            length.append(np.full(len(at[-1]), d + 1, np.int32))
             piece.append(vocabulary.piece[state[whole]])
             if d == 0:
                 single[at[0]] = True
-        odd = np.flatnonzero(~single & ~self.is_end)
+        odd = np.flatnonzero(~single & ~self.is_end).astype(np.int32)
         at.append(odd)
-        length.append(np.ones(len(odd), np.int64))
+        length.append(np.ones(len(odd), np.int32))
         piece.append(-1 - chars[odd].astype(np.int64))
         at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece).astype(np.int32)
         by = np.lexsort((length, at, left[at]))
         at, length, self.piece = at[by], length[by], piece[by]
+        del by, piece, node, state
         self.to = at + length
         other = self.piece < 0
         code = -1 - self.piece[other].astype(np.int64)
@@ -151,9 +154,9 @@ class Lattice:
         self.piece[ascii_at] = vocabulary.byte_ids[-1 - self.piece[ascii_at]]
         new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         counts = np.diff(np.append(new, len(at)))
-        self.first = np.zeros(n, np.int64)
+        self.first = np.zeros(n, np.int32)
         self.first[at[new]] = new
-        self.count = np.zeros(n, np.int64)
+        self.count = np.zeros(n, np.int32)
         self.count[at[new]] = counts
         beta, p = np.zeros(n), np.empty(len(at))
         distance = left[at[new]]
@@ -173,7 +176,7 @@ class Lattice:
 
     def sample(self, words: np.ndarray, keys: np.ndarray, salt: int) -> "Paths":
         """A segmentation of each word, drawn by probability."""
-        occ, node, steps = np.arange(len(words)), self.start[words], []
+        occ, node, steps = np.arange(len(words), dtype=np.int32), self.start[words].astype(np.int32), []
         logp = np.zeros(len(words))
         while len(occ):
             u = uniforms(keys[occ], salt + len(steps))
@@ -228,7 +231,7 @@ class Paths:
             size[occ] += 1
         self.first = np.cumsum(size) - size
         self.size, self.logp = size, logp
-        self.edges = np.empty(int(size.sum()), np.int64)
+        self.edges = np.empty(int(size.sum()), np.int32)
         for t, (occ, edge) in enumerate(steps):
             self.edges[self.first[occ] + t] = edge
 
@@ -244,7 +247,7 @@ class Paths:
         self.extra, self.extra_size = [], 0
 
     def close(self) -> None:
-        self.edges = np.concatenate([self.edges, *[np.array(p, np.int64) for p in self.extra]])
+        self.edges = np.concatenate([self.edges, *[np.array(p, np.int32) for p in self.extra]])
         self.extra, self.extra_size = [], 0
 
     def of(self, i: int) -> list[int]:
