@@ -29,7 +29,7 @@ PATTERNS = {
 }
 #: A text without this character has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Buckets of the broadcast filters: the bound of their rows.
 BUCKETS = 1 << 20
 #: Code points of context on either side of an entity, and words taken from it.
