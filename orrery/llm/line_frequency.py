@@ -1,10 +1,10 @@
 """Quality rules: base counts of a text, and cross-document line frequency per host.
 
 Lines are normalised (lower case, white space collapsed) and hashed, and for each host the
-distinct documents that hold a line are counted. Documents count as distinct by what stands around
-the line, its least and greatest other line, so a page copied a thousand times, even with small
-edits, is one document and does not make its own prose look like boilerplate. Lines above the
-limit are removed; a document that keeps too little is depleted and rejected.
+distinct documents that hold a line are counted. Documents are distinct if their whole texts are, both
+among those that hold a line and among those of the host, so a page copied a thousand times is one
+document and does not make its own prose look like boilerplate; copies with edits are documents of
+their own. Lines above the limit are removed; a document that keeps too little is depleted and rejected.
 
 Counting is two aggregates with map-side partial sums, so a line of a third of all documents
 arrives as one row per task.
@@ -91,24 +91,18 @@ def has_word(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """did, host, line (its place), key, words, sign: one row for each line with a word.
-
-    sign is the hash of the least and greatest other keys of the document."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), has_word)
+    """did, host, line (its place), key, words, content (hash of the whole text): one row for each line with a word."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), has_word)
     items = F.transform(lines, lambda x: F.struct(line_key(x).alias("key"), word_count(x).alias("words")))
-    each = docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), items.alias("items"))
-    each = each.withColumn("keys", F.array_sort(F.array_distinct("items.key")))
-    ends = {"lo": 1, "lo2": 2, "hi": -1, "hi2": -2}
-    each = each.select("did", "host", "items", *[F.coalesce(F.try_element_at("keys", F.lit(i)), F.lit("")).alias(c) for c, i in ends.items()])
-    each = each.select("did", "host", *ends, F.posexplode("items").alias("line", "item")).select("did", "host", *ends, "line", "item.*")
-    least, most = F.when(F.col("key") == F.col("lo"), F.col("lo2")).otherwise(F.col("lo")), F.when(F.col("key") == F.col("hi"), F.col("hi2")).otherwise(F.col("hi"))
-    return each.select("did", "host", "line", "key", "words", F.xxhash64(least, most).alias("sign"))
+    each = docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), items.alias("items"))
+    return each.select("did", "host", "content", F.posexplode("items").alias("line", "item")).select("did", "host", "line", "item.*", "content")
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, *, min_docs: int, share: float, text_col: str, host_col: str) -> DataFrame:
     """host, key of lines in more than min_docs and more than share of the host's distinct documents."""
-    found = lines.select("host", "key", "sign").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    texts = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    found = lines.select("host", "key", "content").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    texts = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
     hosts = texts.distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return found.join(hosts, "host").where(F.col("n") > F.col("docs") * F.lit(share)).select("host", "key")
 
