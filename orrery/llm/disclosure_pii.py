@@ -1,14 +1,16 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms that give entities away.
 
 Base spans of four kinds are found in every whole text. The values found are the protected entities.
-Words around an entity are candidate terms; for a term t and an entity e the corpus tells how
-many documents hold t, e and both. The information that t gives about e is their pointwise mutual
+All words of the documents that hold an entity, outside of base spans, are candidate terms; for a term
+t and an entity e the corpus tells how many documents hold t, e and both. The information that t gives about e is their pointwise mutual
 information; e itself carries IC(e) = -log2 p(e). A term that gives at least `generalise` of IC(e)
-is generalised in the documents that hold e, from `remove` on it is removed.
+is generalised in the documents that hold e, from `remove` on it is removed. A pair counts from min_support
+different texts on, so the terms of an entity that fewer texts hold are left alone.
 
 DataFrame functions only. Regex matches get their places from the pieces between them (split), as
 code points. Patterns use possessive repeats, and may start only at the end of the last match (\\G) or where a
-run starts, so long runs cost linear time and no stack. Document frequencies are wanted for
+run starts, so long runs cost linear time and no stack. Pairs are counted once for each different text, with
+the number of its documents, and combined before they are shuffled. Document frequencies are wanted for
 candidate terms only: words are filtered by a broadcast table of hash buckets, at most 2**20 rows
 whatever the corpus, before anything is shuffled; the same bound selects the texts to read again.
 """
@@ -32,9 +34,8 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Buckets of the broadcast filters: the bound of their rows.
 BUCKETS = 1 << 20
-#: Code points of context on either side of an entity, and words taken from it.
-CONTEXT, CONTEXT_WORDS = 160, 8
-_NOT_LETTERS = "[^\\p{L}]+"
+#: What a term is made of: letters, their marks, digits.
+_TERM = "\\p{L}\\p{M}\\p{N}"
 
 
 def digits(value: Column) -> Column:
@@ -96,23 +97,20 @@ def base_spans(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _NOT_LETTERS), lambda w: F.length(w) >= 4)
+    """Lower-cased runs of letters and digits outside of base spans, distinct."""
+    cut = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(" ").alias("label")))
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), f"[^{_TERM}]+"), lambda w: w != ""))
+    return words(masked(text, cut))
 
 
-def context(text: Column, span: Column) -> Column:
-    """Letter words next to a span, lower-cased, distinct."""
-    width = F.least(span["start"], F.lit(CONTEXT))
-    before = words_of(F.concat(F.regexp_replace(F.substring(text, span["start"] - width + 1, width), "^\\p{L}+", ""), F.lit(" ")))
-    after = words_of(F.regexp_replace(F.substring(text, span["stop"] + 1, F.lit(CONTEXT)), "\\p{L}+$", ""))
-    return F.array_distinct(F.concat(F.slice(F.reverse(before), 1, CONTEXT_WORDS), F.slice(after, 1, CONTEXT_WORDS)))
+def content_of(text_col: str) -> Column:
+    """64 bits that stand for a text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, content (hash of the text), base: spans with their context words."""
-    rows = docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.select("did", "text", base_spans(F.col("text")).alias("found"))
-    spans = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), context(F.col("text"), s).alias("near")))
-    return found.select("did", F.when(F.size("found") > 0, F.xxhash64("text")).alias("content"), spans.alias("base"))
+    """did, content (hash of the text), base (spans) of every row."""
+    return docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), base_spans(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("base"))
 
 
 def bucket(column: Column) -> Column:
@@ -120,11 +118,9 @@ def bucket(column: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, remove: float, min_support: int, id_col: str, text_col: str) -> DataFrame:
-    """did, terms, removed: for each document that holds an entity, the terms that disclose it."""
-    held = hits.where(F.size("base") > 0).select("did", "content", F.explode("base").alias("span"))
-    held = held.select("did", "content", F.xxhash64("span.kind", "span.value").alias("entity"), "span.near")
-    pairs = held.select("did", "content", "entity", F.explode("near").alias("term")).distinct()
-    total = float(max(docs.count(), 1))
+    """did, content, terms, removed: for each document (id and text) that holds an entity, the terms that disclose it."""
+    held = hits.where(F.size("base") > 0).select("did", "content", F.explode("base").alias("span")).select("did", "content", F.xxhash64("span.kind", "span.value").alias("entity")).distinct()
+    total = float(max(hits.select("did", "content").distinct().count(), 1))
 
     def share_told(n_term: str) -> Column:
         """PMI of term and entity as a share of the entity's information."""
@@ -132,33 +128,40 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, rem
         pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col(n_term)))
         return F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
 
-    # contents first, then pairs: a group of copies is one content, and both sums combine before the shuffle
-    counted = pairs.groupBy("entity", "term", "content").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support)
-    entities = held.select("entity", "did").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # documents with the term next to any entity are a lower bound of those with the term: common words end here
-    least = pairs.select("term", "did").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    joint = counted.join(entities, "entity").join(least, "term").where(share_told("n_near") >= generalise).select("entity", "term", "n_both", "n_entity").checkpoint()
+    # contents first, then entities: a group of copies is one content, and both sums combine before the shuffle
+    by_content = held.groupBy("entity", "content").agg(F.count("*").alias("n"))
+    entities = by_content.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("contents")).where(F.col("contents") >= min_support).select("entity", "n_entity").checkpoint()
+    # no pair has more contents than its entity, so texts without an entity of enough of them have no pair
+    known = entities.select(bucket(F.col("entity")).alias("bucket")).distinct()
+    held = held.join(F.broadcast(known), bucket(F.col("entity")) == F.col("bucket"), "left_semi")
+    holders = held.groupBy("content").agg(F.collect_set("entity").alias("entities"), F.count_distinct("did").alias("n_docs")).checkpoint()
+    texts = in_buckets(docs, holders, text_col, "left_semi").select(content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.groupBy("content").agg(F.first("text").alias("text")).join(holders, "content").select("n_docs", "entities", F.explode(words_of(F.col("text"))).alias("term"))
+    counted = texts.select("n_docs", "term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.sum("n_docs").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support)
+    # documents with the term and any entity are a lower bound of those with the term: common words end here
+    least = texts.groupBy("term").agg(F.sum("n_docs").alias("n_least"))
+    joint = counted.join(entities, "entity").join(least, "term").where(share_told("n_least") >= generalise).select("entity", "term", "n_both", "n_entity").checkpoint()
     wanted = joint.select(bucket(F.col("term")).alias("bucket")).distinct()
-    words = docs.select(internal_id(id_col).alias("did"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term"))
+    words = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term"))
     words = words.join(F.broadcast(wanted), bucket(F.col("term")) == F.col("bucket"), "left_semi").distinct()
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
     told = joint.join(terms, "term").select("entity", "term", share_told("n_term").alias("told")).where(F.col("told") >= generalise)
-    per = held.select("did", "entity").distinct().join(told, "entity").groupBy("did", "term").agg(F.max("told").alias("told"))
-    return per.groupBy("did").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("told") >= remove, F.col("term"))).alias("removed")).checkpoint()
+    per = held.join(told, "entity").groupBy("did", "content", "term").agg(F.max("told").alias("told"))
+    return per.groupBy("did", "content").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("told") >= remove, F.col("term"))).alias("removed")).checkpoint()
 
 
 def term_pattern(terms: Column) -> Column:
-    return F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join(terms, "|"), F.lit(")(?!\\p{L})"))
+    return F.concat(F.lit(f"(?iu)(?<![{_TERM}])(?:"), F.array_join(terms, "|"), F.lit(f")(?![{_TERM}])"))
 
 
-def in_buckets(docs: DataFrame, terms: DataFrame, id_col: str, how: str) -> DataFrame:
-    """The rows of docs that may (left_semi) or cannot (left_anti) have an entry in terms; a broadcast of at most BUCKETS rows."""
-    buckets = terms.select(bucket(F.col("did")).alias("bucket__")).distinct()
-    return docs.join(F.broadcast(buckets), bucket(internal_id(id_col)) == F.col("bucket__"), how)
+def in_buckets(docs: DataFrame, contents: DataFrame, text_col: str, how: str) -> DataFrame:
+    """The rows of docs whose text may (left_semi) or cannot (left_anti) be in contents; a broadcast of at most BUCKETS rows."""
+    buckets = contents.select(bucket(F.col("content")).alias("bucket__")).distinct()
+    return docs.join(F.broadcast(buckets), bucket(content_of(text_col)) == F.col("bucket__"), how)
 
 
 def find(docs: DataFrame, *, generalise: float = 0.9, remove: float = 0.97, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(base, terms): base has did and base spans of every row; terms has did, terms, removed of documents with disclosing terms."""
+    """(base, terms): base has did and base spans of every row; terms has did, content, terms, removed of documents with disclosing terms."""
     prepared(docs.sparkSession)
     hits = find_base(docs, id_col, text_col).checkpoint()
     return hits, disclosing_terms(docs, hits, generalise=generalise, remove=remove, min_support=min_support, id_col=id_col, text_col=text_col)
@@ -167,14 +170,14 @@ def find(docs: DataFrame, *, generalise: float = 0.9, remove: float = 0.97, min_
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs; spans also has the kind term.
 
-    A null text is empty; a null id is an id of its own; rows that repeat an id share its term spans.
+    A null text is empty; a null id is an id of its own; a document is an id and a text, so rows that repeat an id have each their own text's spans.
     No entity in the corpus: base spans only. An empty table gives an empty result."""
     hits, terms = find(docs, id_col=id_col, text_col=text_col, **limits)
-    texts = in_buckets(docs.select(F.col(id_col), F.col(text_col)), terms, id_col, "left_semi")
-    texts = texts.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).join(terms, "did")
-    more = texts.select("did", placed(F.col("text"), term_pattern(F.col("terms")), "term").alias("more")).groupBy("did").agg(F.first("more").alias("more"))
+    texts = in_buckets(docs.select(F.col(id_col), F.col(text_col)), terms, text_col, "left_semi")
+    texts = texts.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text")).join(terms, ["did", "content"])
+    more = texts.select("did", "content", placed(F.col("text"), term_pattern(F.col("terms")), "term").alias("more")).groupBy("did", "content").agg(F.first("more").alias("more"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    rows = hits.join(more, "did", "left").select("did", "base", told(F.col("base")).alias("b"), told(F.coalesce("more", no_spans())).alias("t"))
+    rows = hits.join(more, ["did", "content"], "left").select("did", "base", told(F.col("base")).alias("b"), told(F.coalesce("more", no_spans())).alias("t"))
     counts = [F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
     both = F.concat(F.col("b"), F.when((F.col("b") != "") & (F.col("t") != ""), ",").otherwise(""), F.col("t"))
     return rows.select(external_id("did").alias("doc_id"), *counts, F.sha2("b", 256).alias("base_sha256"), both.alias("spans"))
@@ -200,9 +203,9 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.col("text__")
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     more = F.transform(placed(text, term_pattern(F.col("terms__")), "term"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(F.array_contains("removed__", F.lower(s["value"])), "").otherwise("[TERM]").alias("label")))
-    named = terms.select(F.col("did").alias("did__"), F.col("terms").alias("terms__"), F.col("removed").alias("removed__"))
-    hot = in_buckets(docs, terms, id_col, "left_semi").withColumn("text__", F.col(text_col).cast("string")).join(named, internal_id(id_col) == F.col("did__"), "left")
-    cold = in_buckets(docs, terms, id_col, "left_anti").withColumn("text__", F.col(text_col).cast("string"))
+    named = terms.select(F.col("did").alias("did__"), F.col("content").alias("content__"), F.col("terms").alias("terms__"), F.col("removed").alias("removed__"))
+    hot = in_buckets(docs, terms, text_col, "left_semi").withColumn("text__", F.col(text_col).cast("string")).join(named, (internal_id(id_col) == F.col("did__")) & (content_of(text_col) == F.col("content__")), "left")
+    cold = in_buckets(docs, terms, text_col, "left_anti").withColumn("text__", F.col(text_col).cast("string"))
 
     def out(rows: DataFrame, marks: Column) -> DataFrame:
         rows = rows.withColumn("marks__", marks)

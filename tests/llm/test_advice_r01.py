@@ -21,3 +21,24 @@ def test_boilerplate_pages_count_as_documents(spark):
     got = {r["doc_id"]: r for r in Q.quality(df).collect()}
     assert all(got[i]["n_words_kept"] == 3 and got[i]["depleted"] for i in range(300))
     assert all(got[i]["kept"] for i in range(300, 2000))
+
+
+def test_terms_of_whole_documents(spark):
+    """Terms at the text's ends, far from the entity, of three letters and with digits."""
+    rows = [(i, f"Zebulon writes from a@b.com to Quentin {'and so on ' * 60} case{i} bob met x7f9q and said so to Xanthippe") for i in range(4)]
+    rows += [(100 + i, f"someone writes from here to there {'and so on ' * 30} and met others and said so number{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, terms = D.find(df)
+    got = {r["did"]: set(r["terms"]) for r in terms.collect()}
+    assert got == {i: {"zebulon", "quentin", "bob", "x7f9q", "xanthippe"} for i in range(4)}
+    clean = {r["doc_id"]: r["text"] for r in D.sanitise(df).collect()}
+    assert "bob" not in clean[2] and "Xanthippe" not in clean[2] and "case2" in clean[2] and clean[100] == rows[4][1]
+
+
+def test_pii_of_rows_that_share_an_id(spark):
+    secret = [(None if i % 2 else 7, f"entry {i} names quokka with a@b.com here") for i in range(4)]
+    rows = secret + [(7, "plain words that name a quokka not at all in this place")] + [(100 + i, f"other words here {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_email"], r["spans"].count("term")) for r in D.spans(df).where("doc_id is null or doc_id = 7").collect())
+    assert [g[0] for g in got] == [0, 1, 1, 1, 1] and got[0][1] == 0 and all(g[1] > 0 for g in got[1:])
+    assert sum("[EMAIL]" in r["text"] for r in D.sanitise(df).collect()) == 4
