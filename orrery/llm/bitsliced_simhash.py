@@ -48,14 +48,14 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """did (internal id), fp (bigint) of every row, without a shuffle."""
+    """did (internal id), fp (bigint), content (hash of the text) of every row, without a shuffle."""
 
     def body(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t, width, seed) for t in byte_texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "fp": signed(fps)})
+            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "fp": signed(fps), "content": batch.column(2)})
 
-    return docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).mapInArrow(body, "did long, fp long")
+    return docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content")).mapInArrow(body, "did long, fp long, content long")
 
 
 def masks(radius: int) -> list[int]:
@@ -191,29 +191,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
+def components_of(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, named): did, fp, content (hash of the text) of every row; fp, least, root (of its component) of every fingerprint."""
+    prepared(docs.sparkSession)
+    rows = fingerprints(docs, width=width, seed=seed, id_col=id_col, text_col=text_col).checkpoint()
+    owners = rows.groupBy("fp").agg(F.min(external_id("did")).alias("least"))
+    roots = components(link_edges(owners.select("fp"), radius))
+    return rows, owners.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links) of every row.
 
     Null and empty texts have fingerprint zero and link like any other. A null id keeps its row;
     component_id is the least id that is not null, and null if there is none. Repeated rows come
     back as often as they came in. An empty table gives an empty result."""
-    prepared(docs.sparkSession)
-    rows = fingerprints(docs, width=width, seed=seed, id_col=id_col, text_col=text_col).checkpoint()
-    owners = rows.groupBy("fp").agg(F.min(external_id("did")).alias("least"))
-    roots = components(link_edges(owners.select("fp"), radius))
-    named = owners.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows, named = components_of(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col)
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(groups, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(external_id("did").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs whose id is the least of its component, one for each; same columns.
-
-    Rows that repeat an id are copies, so one of them stays; a null id stays only in a component without other ids."""
-    found = near_duplicates(docs, id_col=id_col, **settings)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(internal_id("doc_id").alias("did__")).distinct()
-    one = Window.partitionBy("did__").orderBy("did__")  # the join leaves rows dealt and sorted by it
-    rows = docs.join(kept, internal_id(id_col) == F.col("did__")).withColumn("row__", F.row_number().over(one))
-    return rows.where("row__ = 1").select(*docs.columns)
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each component: the one of the least id, ids that are null last, then of the least text hash; same columns."""
+    rows, named = components_of(docs, id_col=id_col, text_col=text_col, **settings)
+    # the least row of each fingerprint first, combined before the shuffle
+    first = rows.groupBy("fp").agg(F.min(F.struct(external_id("did").isNull().alias("none"), "did", "content")).alias("row"))
+    kept = first.join(named, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.did").alias("did__"), F.col("row.content").alias("content__"))
+    one = Window.partitionBy("did__", "content__").orderBy("did__")  # the join leaves rows dealt and sorted by both
+    met = (internal_id(id_col) == F.col("did__")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("content__"))
+    return docs.join(kept, met).withColumn("row__", F.row_number().over(one)).where("row__ = 1").select(*docs.columns)

@@ -142,9 +142,13 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, rem
     least = texts.groupBy("term").agg(F.sum("n_docs").alias("n_least"))
     joint = counted.join(entities, "entity").join(least, "term").where(share_told("n_least") >= generalise).select("entity", "term", "n_both", "n_entity").checkpoint()
     wanted = joint.select(bucket(F.col("term")).alias("bucket")).distinct()
-    words = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term"))
-    words = words.join(F.broadcast(wanted), bucket(F.col("term")) == F.col("bucket"), "left_semi").distinct()
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    # only rows that repeat a document have to be made distinct; the words of all others combine before the shuffle
+    document = F.xxhash64(internal_id(id_col), content_of(text_col))
+    copies = hits.groupBy("did", "content").agg(F.count("*").alias("n")).where("n > 1").select(bucket(F.xxhash64("did", "content")).alias("copied")).distinct()
+    parts = {how: docs.join(F.broadcast(copies), bucket(document) == F.col("copied"), how) for how in ("left_anti", "left_semi")}
+    parts = {how: part.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term")) for how, part in parts.items()}
+    words = parts["left_anti"].select("term").unionByName(parts["left_semi"].distinct().select("term"))
+    terms = words.join(F.broadcast(wanted), bucket(F.col("term")) == F.col("bucket"), "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     told = joint.join(terms, "term").select("entity", "term", share_told("n_term").alias("told")).where(F.col("told") >= generalise)
     per = held.join(told, "entity").groupBy("did", "content", "term").agg(F.max("told").alias("told"))
     return per.groupBy("did", "content").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("told") >= remove, F.col("term"))).alias("removed")).checkpoint()

@@ -90,6 +90,11 @@ def has_word(line: Column) -> Column:
     return line.rlike(f"[^{SPACES}]")
 
 
+def content_of(text_col: str) -> Column:
+    """64 bits that stand for a text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """did, host, line (its place), key, words, content (hash of the whole text): one row for each line with a word."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -108,12 +113,12 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, *, min_docs: int, share: f
 
 
 def lines_to_remove(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """did (internal id), gone (keys of the lines above the limit that it holds), gone_words. Only documents with any."""
+    """did (internal id), content, gone (keys of the lines above the limit that it holds), gone_words. Only documents (id and text) with any."""
     lines = line_table(docs, id_col, text_col, host_col)
     over = frequent_lines(lines, docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col)
     # a set of (place, words), so that rows that repeat a document count once
-    gone = lines.join(over, ["host", "key"]).groupBy("did").agg(F.collect_set("key").alias("gone"), F.collect_set(F.struct("line", "words")).alias("places"))
-    return gone.select("did", "gone", F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("gone_words"))
+    gone = lines.join(over, ["host", "key"]).groupBy("did", "content").agg(F.collect_set("key").alias("gone"), F.collect_set(F.struct("line", "words")).alias("places"))
+    return gone.select("did", "content", "gone", F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("gone_words"))
 
 
 def stripped(text: Column, gone: Column) -> Column:
@@ -133,33 +138,42 @@ def quality(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, min_word
     min_words words, or over max_repeat_percent of the words under repeated 5-word windows.
 
     A null text has no words; a null host is the host ''; a null id is an id of its own; rows that repeat
-    an id are judged each by its own text, with the removals of all its rows. An empty table gives an empty result."""
+    an id are judged each by its own text and removals. An empty table gives an empty result."""
+    rules = {"min_docs": min_docs, "share": share, "min_words": min_words, "max_repeat_percent": max_repeat_percent, "min_kept": min_kept}
+    rows = verdicts(docs, **rules, id_col=id_col, text_col=text_col, host_col=host_col)
+    return rows.select(external_id("did").alias("doc_id"), *COUNTS, "base_failed", "n_words_kept", "depleted", "kept")
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def verdicts(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, min_words: int = 10, max_repeat_percent: int = 20, min_kept: float = 0.3, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """did, content and quality's columns of every row of docs."""
     prepared(docs.sparkSession)
 
     def counted(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"did": batch.column(0), **base_counts(byte_texts(batch.column(1)))})
+            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "content": batch.column(1), **base_counts(byte_texts(batch.column(2)))})
 
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    texts = docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
     gone = lines_to_remove(docs, min_docs=min_docs, share=share, id_col=id_col, text_col=text_col, host_col=host_col)
-    rows = texts.mapInArrow(counted, ", ".join(f"{c} long" for c in ("did", *counts))).join(gone.select("did", "gone_words"), "did", "left")
+    rows = texts.mapInArrow(counted, ", ".join(f"{c} long" for c in ("did", "content", *COUNTS))).join(gone.select("did", "content", "gone_words"), ["did", "content"], "left")
     kept = F.col("n_words") - F.coalesce("gone_words", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (kept < F.col("n_words")) & ((kept < min_words) | (kept < F.col("n_words") * F.lit(min_kept)))
-    return rows.select(external_id("did").alias("doc_id"), *counts, failed.alias("base_failed"), kept.alias("n_words_kept"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"))
+    return rows.select("did", "content", *COUNTS, failed.alias("base_failed"), kept.alias("n_words_kept"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"))
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
     """docs without the rejected documents and without the lines above the limit; same columns.
 
-    Rows of a repeated id stay if one of them is kept."""
+    Rows that repeat an id stay or go each by its own text."""
     limits = {k: rules[k] for k in ("min_docs", "share") if k in rules}
-    verdicts = quality(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
-    kept = verdicts.where("kept").select(internal_id("doc_id").alias("did__")).distinct()
-    gone = lines_to_remove(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).select(F.col("did").alias("gone_did__"), F.col("gone").alias("gone__"))
-    marked = kept.join(gone, F.col("did__") == F.col("gone_did__"), "left").select("did__", "gone__")
-    rows = docs.join(marked, internal_id(id_col) == F.col("did__"))
+    named = verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
+    kept = named.where("kept").select("did", "content").distinct()
+    gone = lines_to_remove(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    marked = kept.join(gone, ["did", "content"], "left").select(F.col("did").alias("did__"), F.col("content").alias("content__"), F.col("gone").alias("gone__"))
+    rows = docs.join(marked, (internal_id(id_col) == F.col("did__")) & (content_of(text_col) == F.col("content__")))
     text = stripped(docs[text_col].cast("string"), F.col("gone__"))
     return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 

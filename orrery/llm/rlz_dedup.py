@@ -34,8 +34,8 @@ ADDRESS = 8
 #: Reference blocks for each shuffle partition in step 2.
 BLOCKS_EACH = 16
 
-ROWS = "address long, did long, start int, windows binary, stop int, src long, src_start int"
-FACTORS = "did long, start int, stop int, src long, src_start int"
+ROWS = "address long, did long, sub long, start int, windows binary, stop int, src long, src_start int"
+FACTORS = "did long, sub long, start int, stop int, src long, src_start int"
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -67,20 +67,25 @@ def factors(did, pos, src, src_pos, width: int) -> dict:
     return {"did": did[at], "start": pos[at].astype(np.int32), "stop": (pos[last] + width).astype(np.int32), "src": src[at], "src_start": src_pos[at].astype(np.int32)}
 
 
+def named(found: dict, did: np.ndarray, sub: np.ndarray) -> dict:
+    """Factors of document numbers as factors of ids."""
+    return {"did": did[found["did"]], "sub": sub[found["did"]], **{k: found[k] for k in ("start", "stop")}, "src": did[found["src"]], "src_start": found["src_start"]}
+
+
 def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """Bytes of the runs of values that begin at at."""
     ends = np.append(at, len(values)).astype(np.int32) * 8
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def block_rows(block: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatch:
+def block_rows(block: list[tuple[int, int, np.ndarray]], width: int) -> pa.RecordBatch:
     """Factors within the block, and the windows that the block has first, run by run."""
     ids = {}
-    for did, words in block:
+    for did, sub, words in block:
         if len(words) >= width:
-            ids.setdefault(did, words)
+            ids.setdefault((did, sub), words)
     docs = sorted(ids.items())
-    schema = pa.schema([("address", pa.int64()), ("did", pa.int64()), ("start", pa.int32()), ("windows", pa.binary()), ("stop", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
+    schema = pa.schema([("address", pa.int64()), ("did", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("windows", pa.binary()), ("stop", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
     if not docs:
         return pa.RecordBatch.from_pylist([], schema)
     flat = np.concatenate([w for _, w in docs])
@@ -93,22 +98,23 @@ def block_rows(block: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatc
     size = min(ADDRESS, width)
     address = signed(sliding_min(gram_hashes(flat, size), width - size + 1)[place])
     window = gram_hashes(flat, width)[place]
-    did = np.array([d for d, _ in docs], np.int64)[doc]
+    ids, subs = (np.array([k[i] for k, _ in docs], np.int64) for i in (0, 1))
     first = first_places(window)
     again = np.flatnonzero(first != np.arange(len(first)))
-    own = factors(did[again], pos[again], did[first[again]], pos[first[again]], width)
+    own = named(factors(doc[again], pos[again], doc[first[again]], pos[first[again]], width), ids, subs)
     n_own = len(own["did"])
     kept = np.flatnonzero(first == np.arange(len(first)))
-    window, did, pos, address = window[kept], did[kept], pos[kept], address[kept]
+    window, doc, pos, address = window[kept], doc[kept], pos[kept], address[kept]
     run = np.ones(len(kept), bool)
-    run[1:] = (did[1:] != did[:-1]) | (pos[1:] != pos[:-1] + 1) | (address[1:] != address[:-1])
+    run[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (address[1:] != address[:-1])
     at = np.flatnonzero(run)
     n = len(at)
     none = pa.nulls
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([address[at], signed(mixed(own["did"].view(np.uint64)))])),
-            pa.array(np.concatenate([did[at], own["did"]])),
+            pa.array(np.concatenate([ids[doc[at]], own["did"]])),
+            pa.array(np.concatenate([subs[doc[at]], own["sub"]])),
             pa.array(np.concatenate([pos[at].astype(np.int32), own["start"]])),
             pa.concat_arrays([packed(window, at), none(n_own, pa.binary())]),
             pa.concat_arrays([none(n, pa.int32()), pa.array(own["stop"])]),
@@ -121,59 +127,74 @@ def block_rows(block: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatc
 
 def reference_block(table: pa.Table, width: int) -> pa.Table:
     """Factors of a reference block's rows against the block, besides those found before."""
-    names = ["did", "start", "stop", "src", "src_start"]
+    names = ["did", "sub", "start", "stop", "src", "src_start"]
     done = table.filter(pc.is_valid(table["stop"])).select(names)
-    rows = table.filter(pc.is_valid(table["windows"])).select(["did", "start", "windows"]).sort_by([("did", "ascending"), ("start", "ascending")])
+    rows = table.filter(pc.is_valid(table["windows"])).select(["did", "sub", "start", "windows"]).sort_by([("did", "ascending"), ("sub", "ascending"), ("start", "ascending")])
     if not rows.num_rows:
         return done
     lists = rows["windows"].combine_chunks()
     window = np.frombuffer(b"".join(lists.to_pylist()), np.uint64)
     sizes = pc.binary_length(lists).to_numpy() // 8
-    did = np.repeat(rows["did"].to_numpy(), sizes)
+    ids, subs = rows["did"].to_numpy(), rows["sub"].to_numpy()
+    new = np.append(False, (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1]))
+    ids, subs = (x[np.append(0, np.flatnonzero(new))] for x in (ids, subs))
+    doc = np.repeat(np.cumsum(new), sizes)
     pos = np.repeat(rows["start"].to_numpy().astype(np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(window))
     first = first_places(window)
-    again = np.flatnonzero((did[first] != did) | (pos[first] != pos))
-    found = factors(did[again], pos[again], did[first[again]], pos[first[again]], width)
+    again = np.flatnonzero((doc[first] != doc) | (pos[first] != pos))
+    found = named(factors(doc[again], pos[again], doc[first[again]], pos[first[again]], width), ids, subs)
     return pa.concat_tables([done, pa.table(found, schema=done.schema)])
 
 
+def sub_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """did, sub, text: sub tells the different texts of an id apart. It is 0 but for ids (by buckets, at most 2**20 rows broadcast) that have some."""
+    rows = docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    content, bucket = F.xxhash64(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("did"), F.lit(1 << 20))
+    various = rows.select("did", content.alias("c")).groupBy("did").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select(bucket.alias("bucket"), F.lit(True).alias("various")).distinct()
+    return rows.withColumn("at", bucket).join(F.broadcast(various), F.col("at") == F.col("bucket"), "left").select("did", F.when(F.col("various"), content).otherwise(F.lit(0)).alias("sub"), "text")
+
+
 def duplicate_factors(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """did (internal id), start, stop (words, stop exclusive), src, src_start: factors of width words or more that start earlier elsewhere."""
-    spark = prepared(docs.sparkSession)
+    return keyed_factors(sub_keyed(docs, id_col, text_col), width).drop("sub")
+
+
+def keyed_factors(rows: DataFrame, width: int) -> DataFrame:
+    """duplicate_factors of rows did, sub, text, with sub."""
+    spark = prepared(rows.sparkSession)
 
     def local(batches):
         block, size = [], 0
         for batch in batches:
-            for did, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                block.append((did, hash_words(text.split())))
-                size += len(block[-1][1])
+            for did, sub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
+                block.append((did, sub, hash_words(text.split())))
+                size += len(block[-1][2])
                 if size >= BLOCK_WORDS:
                     yield block_rows(block, width)
                     block, size = [], 0
         yield block_rows(block, width)
 
-    rows = docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).mapInArrow(local, ROWS)
+    rows = rows.mapInArrow(local, ROWS)
     blocks = partitions(spark) * BLOCKS_EACH
     # the block stands for the address from here on, which saves eight bytes a row of shuffle
-    dealt = rows.select(F.pmod("address", F.lit(blocks)).cast("int").alias("block"), "did", "start", "windows", "stop", "src", "src_start")
+    dealt = rows.select(F.pmod("address", F.lit(blocks)).cast("int").alias("block"), "did", "sub", "start", "windows", "stop", "src", "src_start")
     return dealt.groupBy("block").applyInArrow(lambda table: reference_block(table, width), FACTORS)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 20, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256, spans of every row of docs.
 
-    kept_text is null unless with_text. spans are [start, stop) in words, merged. A null text has no words. A null id sorts first. A doc_id
-    names one text: rows that repeat it do not remove each other and share their spans. Fewer than
+    kept_text is null unless with_text. spans are [start, stop) in words, merged. A null text has no words. A null id sorts first. A
+    document is an id and a text: rows that repeat both do not remove each other and share their spans; different texts of an id are ordered by hash. Fewer than
     width words: nothing is removed. An empty table gives an empty result."""
-    found = duplicate_factors(docs, width=width, id_col=id_col, text_col=text_col)
-    spans = found.groupBy("did").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    texts = docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    texts = sub_keyed(docs, id_col, text_col)
+    spans = keyed_factors(texts, width).groupBy("did", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def pack(batches):  # texts make most of this shuffle, so they travel compressed
         codec = pa.Codec("zstd")
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "size": pa.array(map(len, texts), pa.int32()), "packed": pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())})
+            texts = byte_texts(batch.column(2))
+            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "sub": batch.column(1), "size": pa.array(map(len, texts), pa.int32()), "packed": pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())})
 
     def body(batches):
         codec = pa.Codec("zstd")
@@ -196,8 +217,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, with_text: bool = True,
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], span)], names=["did", *out])
 
-    packed_texts = texts.mapInArrow(pack, "did long, size int, packed binary")
-    kept = packed_texts.join(spans, "did", "left").mapInArrow(body, "did long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:int,stop:int>>")
+    packed_texts = texts.mapInArrow(pack, "did long, sub long, size int, packed binary")
+    kept = packed_texts.join(spans, ["did", "sub"], "left").drop("sub").mapInArrow(body, "did long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     return kept.select(external_id("did").alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256", "spans")
 
 
