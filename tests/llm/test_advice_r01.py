@@ -2,7 +2,7 @@
 
 import pytest
 
-from orrery.llm import bitsliced_simhash as S, disclosure_pii as D, line_frequency as Q, rlz_dedup as R
+from orrery.llm import bitsliced_simhash as S, disclosure_pii as D, line_frequency as Q, queries, rlz_dedup as R
 
 
 def test_ip_parts_of_zeros(spark):
@@ -58,3 +58,10 @@ def test_different_texts_of_one_id(spark, did):
     lines = spark.createDataFrame(pages, "doc_id long, text string, source string")
     assert [(r["n_words_kept"], r["kept"]) for r in Q.quality(lines).collect()] == [(20, True)] * 8
     assert sorted(r["text"] for r in Q.clean(lines).collect()) == sorted(own(k, 20) for k in "abcdefgh")
+
+
+def test_segmentation_query_returns_ids_that_decode(spark, data, docs):
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    rows = queries.op2_gumbel_segmentation(spark, data).collect()
+    assert {r["doc_id"] for r in rows} == set(text)
+    assert all(len(r["ids"]) == r["n_tokens"] and r["decoded"] == text[r["doc_id"]] for r in rows)
