@@ -60,6 +60,8 @@ class Vocabulary:
         names = {i: self.model.id_to_piece(i) for i in usable}
         if any(SPACE in p.lstrip(SPACE) for p in names.values()):
             raise ValueError("a piece crosses from a word into white space")
+        if any(len(p) > 255 for p in names.values()):
+            raise ValueError("a piece is longer than 255 characters")
         score = np.array([self.model.get_score(i) for i in range(n)])
         rank = np.empty(n)
         rank[np.argsort(-score, kind="stable")] = np.arange(n)
@@ -141,7 +143,7 @@ class Lattice:
         length.append(np.ones(len(odd), np.int32))
         piece.append(-1 - chars[odd].astype(np.int64))
         at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece).astype(np.int32)
-        by = np.lexsort((length, at, left[at]))
+        by = np.argsort((left[at].astype(np.int64) << 38 | at.astype(np.int64)) << 8 | np.minimum(length, 255), kind="stable")
         at, length, self.piece = at[by], length[by], piece[by]
         del by, piece, node, state
         self.to = at + length
@@ -170,8 +172,10 @@ class Lattice:
             beta[at[new[a:z]]] = top + np.log(total)
             p[lo:hi] = e / np.repeat(total, counts[a:z])
         self.logp = np.log(np.maximum(p, 1e-300))
-        run = np.cumsum(p)
-        self.cum = run - np.repeat(run[new] - p[new], counts)
+        self.cum = p  # summed node by node, so a word's bounds do not depend on the words beside it
+        for j in range(1, int(counts.max(initial=0))):
+            e = new[counts > j] + j
+            self.cum[e] += self.cum[e - 1]
         self.cum[new + counts - 1] = 2.0
 
     def sample(self, words: np.ndarray, keys: np.ndarray, salt: int) -> "Paths":
@@ -280,7 +284,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocabulary: Vocabul
     split = [segments(t) for t in texts]
     distinct = list(set().union(*split))
     number = dict(zip(distinct, range(len(distinct)))).__getitem__
-    words = np.fromiter(map(number, chained.from_iterable(split)), np.int64)
+    words = np.fromiter(map(number, chained.from_iterable(split)), np.int64, sum(map(len, split)))
     n_words = np.fromiter(map(len, split), np.int64, len(split))
     del split, number
     doc_end = np.cumsum(n_words)
@@ -325,39 +329,49 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocabulary: Vocabul
                 first_hit = np.full(len(texts), -1, np.int64)
                 first_hit[doc[hit][::-1]] = hit[::-1]
                 at[mine] = first_hit[mine]
+        branch: dict[int, tuple[int, list[list[int]]]] = {}
+        other: dict[int, list[int]] = {}
+        for d in active.tolist():
+            first, end = int(doc_first[d]), int(doc_end[d])
+            while d not in other:
+                chain, i = chains[chosen[d]], int(at[d])
+                taken = [chain.path(i, chains)]
+                if d in chain.branch and chain.branch[d][0] == i:
+                    taken = chain.branch[d][1] + taken
+                chain.region[i] = -np.inf
+                u = uniforms(np.full(64, word_keys[i]) + np.arange(64).astype(np.uint64), (r + 1 << 20) + (1 << 19)).tolist()
+                path = lattice.sample_other(int(words[i]), taken, u)
+                if path is not None:
+                    branch[d], other[d] = (i, taken), path
+                    break
+                # nothing is left there: the next best region
+                tops = [float(c.region[first:end].max()) for c in chains]
+                chosen[d] = int(np.argmax(tops))
+                best[d] = tops[chosen[d]]
+                if best[d] == -np.inf:
+                    break
+                at[d] = first + int(chains[chosen[d]].region[first:end].argmax())
+        active = np.array([d for d in active.tolist() if d in other], np.int64)
+        if not len(active):
+            break
         part = gathered(at[active], doc_end[active] - at[active])  # words sampled anew: from the region's word on
         paths = lattice.sample(words[part], word_keys[part], (r + 1) << 20)
         paths.open()
         begin = np.cumsum(doc_end[active] - at[active]) - (doc_end[active] - at[active])
         taken_mass = np.zeros(len(part))
-        dead = []
-        branch: dict[int, tuple[int, list[list[int]]]] = {}
         for j, d in zip(begin.tolist(), active.tolist()):
-            chain, i = chains[chosen[d]], int(at[d])
-            taken = [chain.path(i, chains)]
-            if d in chain.branch and chain.branch[d][0] == i:
-                taken = chain.branch[d][1] + taken
-            chain.region[i] = -np.inf
-            u = uniforms(np.full(64, word_keys[i]) + np.arange(64).astype(np.uint64), (r + 1 << 20) + (1 << 19)).tolist()
-            path = lattice.sample_other(int(words[i]), taken, u)
-            if path is None:
-                dead.append(d)
-                continue
-            branch[d] = (i, taken)
-            paths.put(j, path, float(lattice.logp[path].sum()))
-            taken_mass[j] = sum(float(np.exp(lattice.logp[p].sum())) for p in taken)
+            paths.put(j, other[d], float(lattice.logp[other[d]].sum()))
+            taken_mass[j] = sum(float(np.exp(lattice.logp[p].sum())) for p in branch[d][1])
         paths.close()
         owner = np.full(len(words), -1, np.int64)  # which chain holds the path of each word
         for c, chain in enumerate(chains):
             mine = np.isin(doc, active[chosen[active] == c])
             owner[mine] = chain.owner[mine]
         owner[part] = r
-        live = np.setdiff1d(active, dead)
         new = Chain.__new__(Chain)
-        new.extend(chains, chosen, part, paths, owner, taken_mass, best, doc, doc_first, word_keys, r, live, branch)
+        new.extend(chains, chosen, part, paths, owner, taken_mass, best, doc, doc_first, word_keys, r, branch)
         chains.append(new)
         scores[r] = best.copy()
-        active = live
     kappa = best if chains else np.zeros(0)
     for d in range(len(texts)):
         if not n_words[d]:
@@ -384,7 +398,7 @@ class Chain:
         self.logp = paths.logp
         self.finish(part, taken_mass, bound, doc, doc_first, word_keys, r)
 
-    def extend(self, chains, chosen, part, paths, owner, taken_mass, best, doc, doc_first, word_keys, r, live, branch) -> None:
+    def extend(self, chains, chosen, part, paths, owner, taken_mass, best, doc, doc_first, word_keys, r, branch) -> None:
         self.owner, self.paths, self.branch = owner, paths, branch
         self.where = np.zeros(len(doc), np.int64)
         self.where[part] = np.arange(len(part))
@@ -393,8 +407,7 @@ class Chain:
             mine = chosen[doc] == c
             self.logp[mine] = chain.logp[mine]
         self.logp[part] = paths.logp
-        alive = np.isin(doc[part], live)
-        self.finish(part[alive], taken_mass[alive], best[doc[part[alive]]], doc, doc_first, word_keys, r)
+        self.finish(part, taken_mass, best[doc[part]], doc, doc_first, word_keys, r)
 
     def finish(self, part, taken_mass, bound, doc, doc_first, word_keys, r) -> None:
         """Totals, and the regions that part's words leave."""
@@ -434,7 +447,57 @@ def spelled(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return np.array(parts, np.int32)
 
 
-def encode(docs: DataFrame, model: str, *, k: int = 2, seed: int = 5, scores: str = "rank", alpha: float = 0.5, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Speller:
+    """Texts of id sequences, for many at once: the bytes of the pieces, end to end.
+
+    Rows that hold controls, unknown pieces or bytes that are no UTF-8 are left to the library, and so is every
+    row if the library treats a first white space mark otherwise than by dropping it."""
+
+    def __init__(self, model) -> None:
+        self.model, n = model, model.vocab_size()
+        odd = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
+        names = [model.id_to_piece(i) for i in range(n)]
+        spelled = [b"" if odd[i] else bytes([int(names[i][1:-1], 16)]) if model.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.odd = np.array(odd, bool)
+        self.size = np.fromiter(map(len, spelled), np.int64, n)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.marked = np.array([not odd[i] and not model.is_byte(i) and names[i].startswith(SPACE) for i in range(n)], bool)
+        marks = np.flatnonzero(self.marked)[:3].tolist()
+        self.usual = all(model.decode([a, b]) == (spelled[a] + spelled[b]).decode()[1:] for a in marks for b in marks)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The text of each run ids[offsets[i] : offsets[i + 1]]."""
+        rows = len(offsets) - 1
+        size = self.size[ids]
+        at = self.at[ids]
+        filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+        first = offsets[:-1][filled]
+        strip = first[self.marked[ids[first]]]
+        size[strip] -= 1
+        at[strip] += 1
+        total = np.concatenate(([0], np.cumsum(size)))
+        ends = total[offsets].astype(np.int32)
+        place = np.repeat((at - total[:-1]), size)
+        place += np.arange(len(place))
+        out = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(self.bytes[place])])
+        if self.usual and not self.odd[ids].any():
+            try:
+                return out.cast(pa.string())
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([self.text(ids[a:z], raw) for a, z, raw in zip(offsets[:-1], offsets[1:], out.to_pylist())], pa.string())
+
+    def text(self, ids: np.ndarray, raw: bytes) -> str:
+        if self.usual and not self.odd[ids].any():
+            try:
+                return raw.decode()
+            except UnicodeDecodeError:
+                pass
+        return self.model.decode(ids.tolist())
+
+
+def encode(docs: DataFrame, model: str, *, k: int = 2, seed: int = 5, scores: str = "rank", alpha: float = 0.5, with_ids: bool = True, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sample, n_tokens, log_prob, score, log_inclusion, ids_hash, ids: up to k distinct segmentations of every row, best score first.
 
     Args:
@@ -442,16 +505,18 @@ def encode(docs: DataFrame, model: str, *, k: int = 2, seed: int = 5, scores: st
         scores: 'rank' for BPE vocabularies, 'model' for unigram ones.
         alpha: smoothing; log-probabilities are multiplied by it (0: all segmentations alike).
         with_ids: else ids is null; ids_hash is the XXH64 of the ids as little-endian int32.
+        with_text: also decoded, the text that the ids spell, as decode gives it.
 
     A text with fewer than k segmentations gives all it has (what is left of a word once under 1e-12 of its mass is left counts as
     nothing); an empty or null text gives its one, without tokens.
     The row key is the id, so rows that repeat an id and text are sampled alike; null is a key of its own.
-    An empty table gives an empty result."""
+    A text is worked on whole, which takes some 40 bytes of memory for each of its own. An empty table gives an empty result."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def body(batches):
         vocabulary = Vocabulary(model, scores, alpha)
+        speller = Speller(vocabulary.model) if with_text else None
         for batch in batches:
             texts = byte_texts(batch.column(2))
             keys = batch.column(1).to_numpy().view(np.uint64)
@@ -466,24 +531,35 @@ def encode(docs: DataFrame, model: str, *, k: int = 2, seed: int = 5, scores: st
                         "log_prob": pa.array(got["logp"], pa.float64()), "score": pa.array(got["score"], pa.float64()), "log_inclusion": pa.array(got["log_inclusion"], pa.float64()),
                         "ids_hash": pa.array([xxhash.xxh64_intdigest(np.ascontiguousarray(i, np.int32).tobytes()) - (1 << 63) for i in ids], pa.int64()),
                     }
-                    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)) if with_ids else pa.nulls(len(ids), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_pydict(cols | {"ids": lists})
+                    offsets, flat = np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(offsets, flat) if with_ids else pa.nulls(len(ids), pa.list_(pa.int32()))
+                    if speller:
+                        cols["decoded"] = speller.texts(flat, offsets)
+                    yield pa.RecordBatch.from_pydict(cols)
                     a, size = z, 0
 
-    return rows.mapInArrow(body, "doc_id long, sample int, n_tokens long, log_prob double, score double, log_inclusion double, ids_hash long, ids array<int>")
+    return rows.mapInArrow(body, "doc_id long, sample int, n_tokens long, log_prob double, score double, log_inclusion double, ids_hash long, ids array<int>" + ", decoded string" * with_text)
 
 
 def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """encoded with text_col, the text that ids_col spells; null ids give null."""
+    """encoded with text_col, the text that ids_col spells; null ids give null, as does a null among them."""
     names = [c for c in encoded.columns if c != text_col]
 
     def body(batches):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        speller = Speller(sentencepiece.SentencePieceProcessor(model_file=model))
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            texts = pa.array([None if i is None else sp.decode(i) for i in ids], pa.string())
+            ids = batch.column(batch.schema.get_field_index(ids_col))
+            flat, sizes = ids.flatten(), np.diff(ids.offsets.to_numpy()) * ids.is_valid().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            none = ~ids.is_valid().to_numpy(zero_copy_only=False)
+            if flat.null_count:
+                gap = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))[offsets]
+                none |= gap[1:] > gap[:-1]
+                flat = flat.fill_null(0)
+            texts = speller.texts(flat.to_numpy(), offsets)
+            texts = pa.array([None if n else t for n, t in zip(none, texts.to_pylist())], pa.string()) if none.any() else texts
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], texts], names=[*names, text_col])
 
     schema = ", ".join(f"`{n}` {encoded.schema[n].dataType.simpleString()}" for n in names)

@@ -17,8 +17,7 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return gumbel_segmenter.decode(gumbel_segmenter.encode(documents(spark, sf_dir), model), model, text_col="decoded")
+    return gumbel_segmenter.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_text=True)
 
 
 def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
