@@ -10,6 +10,13 @@ one XOR of a plane with itself shifted by s compares all members s places apart,
 counters (ones, twos, over) add the 64 planes for 64 lanes a word, and words whose lanes have
 all passed the radius are abandoned. A list leaves its spanning forest, not its pairs.
 Components come from alternating large-star and small-star rounds on those edges.
+
+``near_duplicates`` links fingerprints. ``similar_groups`` links texts whose sets of word shingles have a Jaccard
+similarity of 0.8 or more, at which 64-bit fingerprints are 10 bits apart on average and too far for slices to find. It uses
+128-bit fingerprints and draws candidates from LISTS lists keyed by KEY_BITS bits of one half each; a pair that differs in 10 bits of
+each half shares one with a probability of 0.99. Within lists the bit-sliced comparison goes up to WIDE bits, nearest pairs first, so a text is
+tied to its nearest; the texts of these pairs are then compared by their sets, and only pairs that pass are links. So nothing is linked that is
+not similar; a link is missed if no list has it, or if all paths of nearer fingerprints to it fail by their sets. Measured recall: README.
 """
 
 from __future__ import annotations
@@ -21,11 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_texts, external_id, internal_id, prepared, signed
+from .common import bit_filter, byte_texts, content_of, external_id, internal_id, partitions, passing, prepared, signed
 
 BITS = 64
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 CHUNK = 1 << 15
+#: similar_groups: lists, bits of a list's key, and the distances at which it links in turn.
+LISTS, KEY_BITS, WIDE = 64, 14, (4, 10, 18, 31)
+#: Members of a list that are compared as one; longer lists are compared chunk by chunk.
+LIST_MEMBERS = 4_096
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -84,7 +95,7 @@ def near_lanes(planes: np.ndarray, s: int, lanes: np.ndarray, radius: int) -> np
     left = lanes[live].copy()
     digits = radius.bit_length()
     counters = [np.zeros(len(live), np.uint64) for _ in range(digits)]
-    for b in range(BITS):
+    for b in range(len(planes)):
         carry = (planes[b] ^ shifted(planes[b], s))[live]
         for d in range(digits):
             counters[d], carry = counters[d] ^ carry, counters[d] & carry
@@ -104,42 +115,62 @@ def near_lanes(planes: np.ndarray, s: int, lanes: np.ndarray, radius: int) -> np
     return out
 
 
-def forest(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
-    """For lists of fingerprints laid end to end (sizes sorted downwards), the least linked place of each.
-
-    Place i is linked to i + s for every s within its list; labels merge as links appear."""
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Plane b holds bit b of every row of fps (rows of 64-bit words), lane by lane."""
     n = len(fps)
     words = -(-n // 64)
-    bits = np.zeros((BITS, words * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    del bits
+    bits = np.zeros((fps.shape[1] * BITS, words * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (least linked place) after places i and j are linked."""
+    while len(i):
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        for x in (a, b, i, j):
+            np.minimum.at(label, x, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        left = label[i] != label[j]
+        i, j = i[left], j[left]
+    return label
+
+
+def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, i, j): for lists laid end to end (sizes sorted downwards), pairs of places within radius whose labels differed when their distance in
+    the list came up, and labels with them. Place i is compared with i + s for every s within its list."""
+    planes = bit_planes(fps)
+    n, words = len(fps), planes.shape[1]
     ends = np.repeat(np.cumsum(sizes), sizes)
     place = np.arange(n)
-    label = place.copy()
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, int(sizes[0])):
         most = int(sizes[sizes > s].sum())  # lists long enough come first
         inside = np.zeros(words * 64, np.uint8)
-        inside[:most] = place[:most] + s < ends[:most]
+        inside[:most] = (place[:most] + s < ends[:most]) & (label[:most] != label[np.minimum(place[:most] + s, n - 1)])
+        if not inside.any():
+            continue
         found = near_lanes(planes, s, np.packbits(inside, bitorder="little").view(np.uint64), radius)
         i = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
-        while len(i):
-            a, b = label[i], label[i + s]
-            low = np.minimum(a, b)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, i + s, low)
-            while not np.array_equal(label, up := label[label]):
-                label = up
-            i = i[label[i] != label[i + s]]
-    return label
+        if len(i):
+            left.append(i)
+            right.append(i + s)
+            label = merge(label, i, i + s)
+    return label, np.concatenate(left), np.concatenate(right)
+
+
+def forest(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """For lists of fingerprints laid end to end (sizes sorted downwards), the least linked place of each."""
+    return near_pairs(fps.reshape(-1, 1), sizes, radius, np.arange(len(fps)))[0]
 
 
 def link_edges(distinct: DataFrame, radius: int) -> DataFrame:
     """u, v: edges that connect all distinct fingerprints (fp) within radius, as a forest per list."""
     choices = masks(radius)
-    posted = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choices])).alias("list", "key"))
+    # fingerprints are few bytes, which adaptive plans put into few tasks; each is many rows from here on
+    posted = distinct.repartition(partitions(distinct.sparkSession), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choices])).alias("list", "key"))
     lists = posted.groupBy("list", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def body(batches):
@@ -171,7 +202,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges (u, v).
 
     Large-star then small-star until nothing changes; each round is checkpointed, so lineage stays
-    short and a lost executor costs one round. Minima are combined before they are shuffled."""
+    short and a lost executor costs one round. Minima are combined before they are shuffled. The number of rounds grows with the logarithm of
+    the longest chain; should rounds not be enough, an error is raised."""
     now = edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct().checkpoint()
     state = None
     for _ in range(rounds):
@@ -219,6 +251,133 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # the least row of each fingerprint first, combined before the shuffle
     first = rows.groupBy("fp").agg(F.min(F.struct(external_id("did").isNull().alias("none"), "did", "content")).alias("row"))
     kept = first.join(named, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.did").alias("did__"), F.col("row.content").alias("content__"))
+    return first_rows(docs, kept, id_col, text_col)
+
+
+def first_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each of kept (did__, content__)."""
     one = Window.partitionBy("did__", "content__").orderBy("did__")  # the join leaves rows dealt and sorted by both
-    met = (internal_id(id_col) == F.col("did__")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("content__"))
-    return docs.join(kept, met).withColumn("row__", F.row_number().over(one)).where("row__ = 1").select(*docs.columns)
+    key = F.xxhash64("did__", "content__")
+    named = docs.withColumns({"did__": internal_id(id_col), "content__": content_of(text_col)})
+    # most rows that go are copies; the filter spares them the shuffle
+    rows = passing(named, key, bit_filter(kept, key)).join(kept, ["did__", "content__"], "left_semi")
+    return rows.withColumn("row__", F.row_number().over(one)).where("row__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """The distinct word shingles of a text, A-Z lowered; a shorter text is one, a text without words none."""
+    words = text.lower().split()
+    if not words:
+        return []
+    width = min(width, len(words))
+    return list({b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)})
+
+
+def wide_fingerprint(text: bytes, width: int) -> tuple[int, int]:
+    """The 128 bits that more than half of the distinct shingles' XXH3 hashes have, as two bigints."""
+    distinct = shingles(text, width)
+    ones = np.zeros(2 * BITS, np.int64)
+    for i in range(0, len(distinct), CHUNK):
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct[i : i + CHUNK])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(distinct), bitorder="little").view(np.int64).tolist())
+
+
+def similarity(a: bytes, b: bytes, width: int) -> float:
+    """Jaccard similarity of two texts' shingles; of two texts without words 1."""
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def list_masks() -> list[tuple[int, int]]:
+    """(which half, mask as a bigint) of each list's key: KEY_BITS bits of one half, drawn with a fixed seed."""
+    rng = np.random.default_rng(17)
+    out = []
+    for i in range(LISTS):
+        m = sum(1 << int(b) for b in rng.choice(BITS, KEY_BITS, replace=False))
+        out.append((i % 2, m - (1 << BITS) if m >> (BITS - 1) else m))
+    return out
+
+
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """u, v: pairs of contents whose fingerprints (content, hi, lo; each content once) meet in a list and are near, nearest first."""
+    keys = [F.col(("hi", "lo")[half]).bitwiseAND(F.lit(m)) for half, m in list_masks()]
+    posted = prints.repartition(partitions(prints.sparkSession), "content").select("content", "hi", "lo", F.posexplode(F.array(*keys)).alias("list", "key"))
+    long = posted.groupBy("list", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_MEMBERS).select("list", "key", F.ceil(F.col("n") / LIST_MEMBERS).cast("int").alias("chunks")).checkpoint()
+    posted = posted.join(F.broadcast(long) if long.count() <= 100_000 else long, ["list", "key"], "left")
+    # a long list is compared as pairs of chunks, each member with every chunk, so no task holds more than two chunks of it
+    own = F.pmod(F.xxhash64("content", F.lit(5)), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, own) * F.col("chunks") + F.greatest(c, own))
+    lists = posted.withColumn("part", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)))
+    lists = lists.groupBy("list", "key", "part").agg(F.collect_list(F.struct("content", "hi", "lo")).alias("members")).where(F.size("members") > 1).select("members")
+
+    def body(batches):
+        def edges(lists: list[np.ndarray]):
+            lists.sort(key=len, reverse=True)
+            sizes = np.array([len(x) for x in lists])
+            flat = np.concatenate(lists)
+            label, pairs = np.arange(len(flat)), []
+            for radius in WIDE:
+                label, i, j = near_pairs(flat[:, 1:].view(np.uint64), sizes, radius, label)
+                pairs.append((flat[i, 0], flat[j, 0]))
+            u, v = (np.concatenate(x) for x in zip(*pairs))
+            return pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+        for batch in batches:
+            column = batch.column(0)
+            rows = np.stack([f.to_numpy() for f in column.flatten().flatten()], axis=1)
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            held, size = [], 0
+            for a, z in zip(offsets[:-1], offsets[1:]):
+                part = rows[a:z]
+                held.append(np.ascontiguousarray(part[np.argsort(part[:, 0])]))
+                size += z - a
+                if size >= 1 << 16:
+                    yield edges(held)
+                    held, size = [], 0
+            if held:
+                yield edges(held)
+
+    return lists.mapInArrow(body, "u long, v long").where("u != v").distinct()
+
+
+def similar_groups(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, named): did and content (hash of the text) of every row; content and root (of its group) of every content.
+
+    Texts are linked if the Jaccard similarity of their sets of A-Z-lowered width-word shingles is at_least or more; a text of
+    fewer words is one shingle, texts without words are linked to each other. Equal texts are one content.
+    Groups are what links reach. Null texts are empty. An empty table gives empty results."""
+    prepared(docs.sparkSession)
+
+    def prints(batches):
+        for batch in batches:
+            both = [wide_fingerprint(t, width) for t in byte_texts(batch.column(2))]
+            hi, lo = (np.array([b[i] for b in both], np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_pydict({"did": batch.column(0), "content": batch.column(1), "hi": hi, "lo": lo})
+
+    texts = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.mapInArrow(prints, "did long, content long, hi long, lo long").checkpoint()
+    distinct = rows.groupBy("content").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.min("did").alias("did")).checkpoint()
+    pairs = candidate_pairs(distinct.select("content", "hi", "lo")).checkpoint()
+    # the texts of the pairs, each once: of the least id that has it
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("content")).distinct().join(distinct.select("content", "did"), "content").checkpoint()
+    some = passing(texts, F.xxhash64("did", "content"), bit_filter(wanted, F.xxhash64("did", "content"))).join(wanted, ["did", "content"], "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    both = pairs.join(some.select(F.col("content").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("content").alias("v"), F.col("text").alias("b")), "v")
+
+    def linked(batches):
+        for batch in batches:
+            passed = [similarity(a, b, width) >= at_least for a, b in zip(byte_texts(batch.column(2)), byte_texts(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    links = both.select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
+    roots = components(links)
+    named = distinct.select("content").join(roots, F.col("content") == F.col("node"), "left").select("content", F.coalesce("root", "content").alias("root"))
+    return rows.select("did", "content"), named
+
+
+def one_per_similar_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each of similar_groups: the one of the least id, ids that are null last, then of the least text hash; same columns."""
+    rows, named = similar_groups(docs, id_col=id_col, text_col=text_col, **settings)
+    first = rows.groupBy("content").agg(F.min(F.struct(external_id("did").isNull().alias("none"), "did", "content")).alias("row"))
+    kept = first.join(named, "content").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.did").alias("did__"), F.col("row.content").alias("content__"))
+    return first_rows(docs, kept, id_col, text_col)

@@ -7,7 +7,8 @@ Conventions that hold for every operator of this subpackage:
 * a null ``doc_id`` is an identifier of its own that sorts before every other one and is
   given back as null; a null text is a text without words;
 * an empty table gives an empty result with the same schema;
-* Arrow batches are bounded by rows and by bytes, so memory does not depend on text length.
+* Arrow batches are bounded by rows and by bytes, and a batch holds one text at least: a task's memory is a
+  multiple of the batch bound or of the longest text, whichever is more.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Stands for a null id inside the operators.
 NULL_ID = -(2**63)
-#: Set only where the session names no shared checkpoint folder (tests, notebooks).
+#: Where a session on one machine (tests, notebooks) names no checkpoint folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
+#: Slots of the broadcast filters: the bound of their rows.
+SLOTS = 1 << 20
 #: What ``[^\x20\x09-\x0D]+`` leaves out.
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -33,12 +36,16 @@ _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 def prepared(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and makes sure checkpoint() has a folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, a local one."""
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local master gets a local
+    folder; on a cluster that would lose checkpoints with their executors, so there it is an error."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return spark
 
 
@@ -59,6 +66,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
+def content_of(text_col: str) -> Column:
+    """64 bits that stand for a text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SLOTS)).cast("int")
+
+
+def bits(key: Column, n: int) -> Column:
+    """A number below n (a power of two) from bits of the key that its slot does not use."""
+    return F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(n - 1)).cast("int")
+
+
+def bit_filter(keys: DataFrame, key: Column, limit: Column | None = None) -> DataFrame:
+    """at__, mask__, limit__ (the greatest limit of the slot): which of 64 bits of each slot have a key."""
+    marked = keys.select(slot(key).alias("at__"), F.call_function("shiftleft", F.lit(1).cast("long"), bits(key, 64)).alias("mask__"), (F.lit(0) if limit is None else limit).alias("limit__"))
+    return marked.groupBy("at__").agg(F.bit_or("mask__").alias("mask__"), F.max("limit__").alias("limit__"))
+
+
+def passing(rows: DataFrame, key: Column, filter: DataFrame, *, others: bool = False, keep: bool = False) -> DataFrame:
+    """The rows whose key may be in the filter, or (others) all other rows; keep: with limit__."""
+    joined = rows.join(F.broadcast(filter), slot(key) == F.col("at__"), "left" if others else "inner")
+    inside = F.getbit("mask__", bits(key, 64)) == 1
+    joined = joined.where(~F.coalesce(inside, F.lit(False))) if others else joined.where(inside)
+    return joined.drop("at__", "mask__") if keep else joined.drop("at__", "mask__", "limit__")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
@@ -97,14 +132,3 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
-
-
-def per_row(function, schema: str):
-    """A mapInArrow body from a function of one RecordBatch that returns a dict of columns."""
-
-    def body(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(function(batch))
-
-    return body, schema

@@ -10,16 +10,20 @@ different texts on, so the terms of an entity that fewer texts hold are left alo
 DataFrame functions only. Regex matches get their places from the pieces between them (split), as
 code points. Patterns use possessive repeats, and may start only at the end of the last match (\\G) or where a
 run starts, so long runs cost linear time and no stack. Pairs are counted once for each different text, with
-the number of its documents, and combined before they are shuffled. Document frequencies are wanted for
-candidate terms only: words are filtered by a broadcast table of hash buckets, at most 2**20 rows
-whatever the corpus, before anything is shuffled; the same bound selects the texts to read again.
+the number of its documents.
+
+What is shuffled is cut first, by bounds that lose no pair. A term of n_t documents tells `generalise` of an entity of n_e
+out of N only if n_t <= N (n_e / N) ** generalise, as n_both <= n_e; so terms are counted first (combined in each
+task), and only those that may be rare enough for an entity of the text leave it. Such bounds, and the choice of rows to read
+again, travel as bit filters: broadcast tables with a row for each slot that has a key, at most 2**20 rows
+of 64 bits whatever the corpus. A filter lets some others pass, never too few; exact joins follow.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import external_id, internal_id, prepared
+from .common import bit_filter, bits, content_of, external_id, internal_id, passing, prepared, slot
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 # The patterns of the four kinds, in order.
@@ -32,8 +36,6 @@ PATTERNS = {
 #: A text without this character has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: Buckets of the broadcast filters: the bound of their rows.
-BUCKETS = 1 << 20
 #: What a term is made of: letters, their marks, digits.
 _TERM = "\\p{L}\\p{M}\\p{N}"
 
@@ -103,18 +105,29 @@ def words_of(text: Column) -> Column:
     return words(masked(text, cut))
 
 
-def content_of(text_col: str) -> Column:
-    """64 bits that stand for a text."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """did, content (hash of the text), base (spans) of every row."""
     return docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), base_spans(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("base"))
 
 
-def bucket(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+def size_class(n: Column) -> Column:
+    """0 for n under 16, 1 under 256, 2 under 4096, else 3."""
+    return F.least(F.lit(3), F.floor(F.log2(F.greatest(n, F.lit(1))) / 4 + 1e-9)).cast("int")
+
+
+def class_filter(terms: DataFrame) -> DataFrame:
+    """at__, mask__: 16 hash bits by 4 classes of frequency for each slot, from terms (term, n_least)."""
+    key = F.xxhash64("term")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bits(key, 16) * 4 + size_class(F.col("n_least")))
+    return terms.select(slot(key).alias("at__"), mark.alias("mask__")).groupBy("at__").agg(F.bit_or("mask__").alias("mask__"))
+
+
+def rare_enough(words: DataFrame, filter: DataFrame) -> DataFrame:
+    """The rows (term, limit__) whose term may be of a class up to limit__."""
+    key = F.xxhash64("term")
+    classes = F.call_function("shiftrightunsigned", F.col("mask__"), bits(key, 16) * 4)
+    wanted = F.call_function("shiftleft", F.lit(2), F.col("limit__")) - 1
+    return words.join(F.broadcast(filter), slot(key) == F.col("at__")).where(classes.bitwiseAND(wanted.cast("long")) != 0).drop("at__", "mask__")
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, remove: float, min_support: int, id_col: str, text_col: str) -> DataFrame:
@@ -132,23 +145,28 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, *, generalise: float, rem
     by_content = held.groupBy("entity", "content").agg(F.count("*").alias("n"))
     entities = by_content.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("contents")).where(F.col("contents") >= min_support).select("entity", "n_entity").checkpoint()
     # no pair has more contents than its entity, so texts without an entity of enough of them have no pair
-    known = entities.select(bucket(F.col("entity")).alias("bucket")).distinct()
-    held = held.join(F.broadcast(known), bucket(F.col("entity")) == F.col("bucket"), "left_semi")
-    holders = held.groupBy("content").agg(F.collect_set("entity").alias("entities"), F.count_distinct("did").alias("n_docs")).checkpoint()
-    texts = in_buckets(docs, holders, text_col, "left_semi").select(content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.groupBy("content").agg(F.first("text").alias("text")).join(holders, "content").select("n_docs", "entities", F.explode(words_of(F.col("text"))).alias("term"))
-    counted = texts.select("n_docs", "term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.sum("n_docs").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support)
-    # documents with the term and any entity are a lower bound of those with the term: common words end here
-    least = texts.groupBy("term").agg(F.sum("n_docs").alias("n_least"))
+    held = held.join(entities, "entity")
+    holders = held.groupBy("content").agg(F.collect_set("entity").alias("entities"), F.count_distinct("did").alias("n_docs"), F.min("did").alias("rep"), F.max("n_entity").alias("most")).checkpoint()
+    # one document of each content is read; what its rarest-bound entity allows a term goes with its slot
+    named = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
+    rarest = F.lit(total) * F.pow(F.col("most") / F.lit(total), F.lit(generalise))
+    document = F.xxhash64("did", "content")
+    chosen = passing(named, document, bit_filter(holders, F.xxhash64("rep", "content"), size_class(rarest)), keep=True)
+    repeated = bit_filter(hits.groupBy("did", "content").agg(F.count("*").alias("n")).where("n > 1"), document)
+    words = chosen.select("did", "content", "limit__", F.explode(words_of(F.col("text"))).alias("term"))
+    # documents among those read that have the term are a lower bound of all that do; repeated rows do not count, as they are one
+    single = passing(chosen, document, repeated, others=True).select(F.explode(words_of(F.col("text"))).alias("term"), F.lit(1).alias("one"))
+    twice = passing(chosen, document, repeated).select(F.explode(words_of(F.col("text"))).alias("term"), F.lit(0).alias("one"))
+    least = single.unionByName(twice).groupBy("term").agg(F.sum("one").alias("n_least"), F.count("*").alias("n_rows")).where(F.col("n_rows") >= min_support).select("term", "n_least").checkpoint()
+    found = rare_enough(words, class_filter(least)).groupBy("did", "content").agg(F.collect_set("term").alias("terms"))
+    pairs = found.join(holders, (found["content"] == holders["content"]) & (F.col("did") == F.col("rep"))).select("n_docs", "entities", F.explode("terms").alias("term")).select("n_docs", "term", F.explode("entities").alias("entity"))
+    counted = pairs.groupBy("entity", "term").agg(F.sum("n_docs").alias("n_both"), F.count("*").alias("contents")).where(F.col("contents") >= min_support)
     joint = counted.join(entities, "entity").join(least, "term").where(share_told("n_least") >= generalise).select("entity", "term", "n_both", "n_entity").checkpoint()
-    wanted = joint.select(bucket(F.col("term")).alias("bucket")).distinct()
     # only rows that repeat a document have to be made distinct; the words of all others combine before the shuffle
-    document = F.xxhash64(internal_id(id_col), content_of(text_col))
-    copies = hits.groupBy("did", "content").agg(F.count("*").alias("n")).where("n > 1").select(bucket(F.xxhash64("did", "content")).alias("copied")).distinct()
-    parts = {how: docs.join(F.broadcast(copies), bucket(document) == F.col("copied"), how) for how in ("left_anti", "left_semi")}
-    parts = {how: part.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.explode(words_of(F.col(text_col).cast("string"))).alias("term")) for how, part in parts.items()}
-    words = parts["left_anti"].select("term").unionByName(parts["left_semi"].distinct().select("term"))
-    terms = words.join(F.broadcast(wanted), bucket(F.col("term")) == F.col("bucket"), "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    wanted = bit_filter(joint, F.xxhash64("term"))
+    of_rows = lambda part: part.select("did", "content", F.explode(words_of(F.col("text"))).alias("term"))
+    every = of_rows(passing(named, document, repeated, others=True)).select("term").unionByName(of_rows(passing(named, document, repeated)).distinct().select("term"))
+    terms = passing(every, F.xxhash64("term"), wanted).groupBy("term").agg(F.count("*").alias("n_term"))
     told = joint.join(terms, "term").select("entity", "term", share_told("n_term").alias("told")).where(F.col("told") >= generalise)
     per = held.join(told, "entity").groupBy("did", "content", "term").agg(F.max("told").alias("told"))
     return per.groupBy("did", "content").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("told") >= remove, F.col("term"))).alias("removed")).checkpoint()
@@ -158,10 +176,9 @@ def term_pattern(terms: Column) -> Column:
     return F.concat(F.lit(f"(?iu)(?<![{_TERM}])(?:"), F.array_join(terms, "|"), F.lit(f")(?![{_TERM}])"))
 
 
-def in_buckets(docs: DataFrame, contents: DataFrame, text_col: str, how: str) -> DataFrame:
-    """The rows of docs whose text may (left_semi) or cannot (left_anti) be in contents; a broadcast of at most BUCKETS rows."""
-    buckets = contents.select(bucket(F.col("content")).alias("bucket__")).distinct()
-    return docs.join(F.broadcast(buckets), bucket(content_of(text_col)) == F.col("bucket__"), how)
+def in_contents(docs: DataFrame, contents: DataFrame, text_col: str, *, others: bool = False) -> DataFrame:
+    """The rows of docs whose text may be in contents, or (others) all other rows."""
+    return passing(docs, content_of(text_col), bit_filter(contents, F.col("content")), others=others)
 
 
 def find(docs: DataFrame, *, generalise: float = 0.9, remove: float = 0.97, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -177,7 +194,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     A null text is empty; a null id is an id of its own; a document is an id and a text, so rows that repeat an id have each their own text's spans.
     No entity in the corpus: base spans only. An empty table gives an empty result."""
     hits, terms = find(docs, id_col=id_col, text_col=text_col, **limits)
-    texts = in_buckets(docs.select(F.col(id_col), F.col(text_col)), terms, text_col, "left_semi")
+    texts = in_contents(docs.select(F.col(id_col), F.col(text_col)), terms, text_col)
     texts = texts.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text")).join(terms, ["did", "content"])
     more = texts.select("did", "content", placed(F.col("text"), term_pattern(F.col("terms")), "term").alias("more")).groupBy("did", "content").agg(F.first("more").alias("more"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -208,8 +225,8 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     more = F.transform(placed(text, term_pattern(F.col("terms__")), "term"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(F.array_contains("removed__", F.lower(s["value"])), "").otherwise("[TERM]").alias("label")))
     named = terms.select(F.col("did").alias("did__"), F.col("content").alias("content__"), F.col("terms").alias("terms__"), F.col("removed").alias("removed__"))
-    hot = in_buckets(docs, terms, text_col, "left_semi").withColumn("text__", F.col(text_col).cast("string")).join(named, (internal_id(id_col) == F.col("did__")) & (content_of(text_col) == F.col("content__")), "left")
-    cold = in_buckets(docs, terms, text_col, "left_anti").withColumn("text__", F.col(text_col).cast("string"))
+    hot = in_contents(docs, terms, text_col).withColumn("text__", F.col(text_col).cast("string")).join(named, (internal_id(id_col) == F.col("did__")) & (content_of(text_col) == F.col("content__")), "left")
+    cold = in_contents(docs, terms, text_col, others=True).withColumn("text__", F.col(text_col).cast("string"))
 
     def out(rows: DataFrame, marks: Column) -> DataFrame:
         rows = rows.withColumn("marks__", marks)

@@ -55,7 +55,7 @@ def gram_buckets(text: str, letters: np.ndarray) -> np.ndarray | None:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights of a linear machine (hinge loss, dual coordinate descent) for labels -1 and 1."""
     rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
-    norms = np.einsum("ij,ij->i", x, x)
+    norms = np.einsum("ij,ij->i", x, x).astype(np.float64)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(x)):
@@ -80,8 +80,9 @@ class Machines:
         self.members = {f: sorted({la for la, g in zip(langs, family) if g == f}) for f in sorted(set(family))}
         scale = x.std(0)
         self.scale = np.divide(1, scale, out=np.zeros_like(scale), where=scale > 1e-9)
-        scaled = (x * self.scale).astype(np.float64)
-        unit = scaled / np.maximum(np.sqrt(np.einsum("ij,ij->i", scaled, scaled)).mean(), 1e-9)
+        unit = x * self.scale.astype(np.float32)
+        size = np.float32(max(np.sqrt(np.einsum("ij,ij->i", unit, unit)).mean(), 1e-9)) if len(unit) else np.float32(1)
+        unit /= size
         self.pairs: list[tuple[str, str]] = []
         weights = []
         for names, labels in [(list(self.members), family), *((m, langs) for m in self.members.values())]:
@@ -91,7 +92,7 @@ class Machines:
                 w = fit_svm(unit[use], np.where(labels[use] == a, 1.0, -1.0))
                 margin = np.median(np.abs(unit[use] @ w)) or 1.0
                 self.pairs.append((a, b))
-                weights.append(w * self.scale * (unit[use[0]] / np.where(scaled[use[0]] == 0, 1, scaled[use[0]])).max() * 3 / margin)
+                weights.append(w * self.scale / size * 3 / margin)
         self.weights = np.array(weights, np.float32).T.copy() if weights else np.zeros((x.shape[1], 0), np.float32)
 
     def vote(self, names: list[str], margins: dict[tuple[str, str], float]) -> tuple[str, float]:
@@ -121,15 +122,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, rows: int, most_langs: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Gram frequencies and labels of about rows labelled rows, the same number of each language where there are as many."""
+    """Gram frequencies and labels of about rows labelled rows, the same number of each language where there are as many; never over twice rows."""
     labelled = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("did").isNotNull() & ~held_out("did"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return np.zeros((0, BUCKETS)), []
     each = max(1, rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    u = F.pmod(F.xxhash64("did", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = labelled.where(u < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    # 52 bits, so that shares of one row in many billions are drawn as they should be
+    u = F.shiftrightunsigned(F.xxhash64("did", F.lit(7)), 12) / F.lit(float(1 << 52))
+    drawn = labelled.withColumn("u", u).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    drawn = drawn.orderBy("u", "did", "lang").limit(2 * max(rows, len(counts)))
 
     def body(batches):
         letters = letter_table()

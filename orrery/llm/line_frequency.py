@@ -6,8 +6,9 @@ among those that hold a line and among those of the host, so a page copied a tho
 document and does not make its own prose look like boilerplate; copies with edits are documents of
 their own. Lines above the limit are removed; a document that keeps too little is depleted and rejected.
 
-Counting is two aggregates with map-side partial sums, so a line of a third of all documents
-arrives as one row per task.
+Lines are hashed in one pass over the texts, which leaves an array of keys for each document. Counting is two aggregates with
+map-side partial sums, so a line of a third of all documents arrives as one row per task. The lines above the limit are counted, and
+broadcast if they are few; else they are copied SALTS times and joined by a salted key, as the lines looked for are the frequent ones.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, byte_texts, external_id, gram_hashes, hash_words, internal_id, mixed, prepared
+from .common import SPACES, byte_texts, content_of, external_id, gram_hashes, hash_words, internal_id, mixed, prepared
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: Words whose windows are compared at once.
 WORK_WORDS = 1 << 20
+#: Most rows of lines above the limit that are broadcast, and the copies of them otherwise.
+BROADCAST_LINES, SALTS = 100_000, 16
 
 
 def base_counts(texts: list[bytes], window: int = 5) -> dict[str, np.ndarray]:
@@ -78,8 +81,8 @@ def normal_line(line: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """64 bits of the hash of a normalised line, as hex."""
-    return F.substring(F.md5(normal_line(line)), 1, 16)
+    """64 bits of hash of a normalised line."""
+    return F.xxhash64(normal_line(line))
 
 
 def word_count(text: Column) -> Column:
@@ -90,34 +93,32 @@ def has_word(line: Column) -> Column:
     return line.rlike(f"[^{SPACES}]")
 
 
-def content_of(text_col: str) -> Column:
-    """64 bits that stand for a text."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """did, host, line (its place), key, words, content (hash of the whole text): one row for each line with a word."""
+    """did, host, content (hash of the whole text), lines (structs key, words: of each line with a word) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), has_word)
-    items = F.transform(lines, lambda x: F.struct(line_key(x).alias("key"), word_count(x).alias("words")))
-    each = docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), items.alias("items"))
-    return each.select("did", "host", "content", F.posexplode("items").alias("line", "item")).select("did", "host", "line", "item.*", "content")
+    items = F.transform(F.filter(F.split(text, "\n"), has_word), lambda x: F.struct(line_key(x).alias("key"), word_count(x).alias("words")))
+    return docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), items.alias("lines"))
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, *, min_docs: int, share: float, text_col: str, host_col: str) -> DataFrame:
+def frequent_lines(table: DataFrame, *, min_docs: int, share: float) -> DataFrame:
     """host, key of lines in more than min_docs and more than share of the host's distinct documents."""
-    found = lines.select("host", "key", "content").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    texts = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
-    hosts = texts.distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    found = table.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    hosts = table.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return found.join(hosts, "host").where(F.col("n") > F.col("docs") * F.lit(share)).select("host", "key")
 
 
 def lines_to_remove(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """did (internal id), content, gone (keys of the lines above the limit that it holds), gone_words. Only documents (id and text) with any."""
-    lines = line_table(docs, id_col, text_col, host_col)
-    over = frequent_lines(lines, docs, min_docs=min_docs, share=share, text_col=text_col, host_col=host_col)
+    table = line_table(docs, id_col, text_col, host_col).checkpoint()
+    over = frequent_lines(table, min_docs=min_docs, share=share).checkpoint()
+    lines = table.select("did", "content", "host", F.posexplode("lines").alias("line", "item")).select("did", "content", "host", "line", "item.*")
+    if over.count() <= BROADCAST_LINES:
+        held = lines.join(F.broadcast(over), ["host", "key"])
+    else:
+        copies = over.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        held = lines.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(copies, ["host", "key", "salt"])
     # a set of (place, words), so that rows that repeat a document count once
-    gone = lines.join(over, ["host", "key"]).groupBy("did", "content").agg(F.collect_set("key").alias("gone"), F.collect_set(F.struct("line", "words")).alias("places"))
+    gone = held.groupBy("did", "content").agg(F.collect_set("key").alias("gone"), F.collect_set(F.struct("line", "words")).alias("places"))
     return gone.select("did", "content", "gone", F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("gone_words"))
 
 
@@ -148,7 +149,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def verdicts(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, min_words: int = 10, max_repeat_percent: int = 20, min_kept: float = 0.3, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """did, content and quality's columns of every row of docs."""
+    """did, content, quality's columns and gone (keys of the lines to remove, or null) of every row of docs."""
     prepared(docs.sparkSession)
 
     def counted(batches):
@@ -157,28 +158,25 @@ def verdicts(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, min_wor
 
     texts = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
     gone = lines_to_remove(docs, min_docs=min_docs, share=share, id_col=id_col, text_col=text_col, host_col=host_col)
-    rows = texts.mapInArrow(counted, ", ".join(f"{c} long" for c in ("did", "content", *COUNTS))).join(gone.select("did", "content", "gone_words"), ["did", "content"], "left")
+    rows = texts.mapInArrow(counted, ", ".join(f"{c} long" for c in ("did", "content", *COUNTS))).join(gone, ["did", "content"], "left")
     kept = F.col("n_words") - F.coalesce("gone_words", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (kept < F.col("n_words")) & ((kept < min_words) | (kept < F.col("n_words") * F.lit(min_kept)))
-    return rows.select("did", "content", *COUNTS, failed.alias("base_failed"), kept.alias("n_words_kept"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"))
+    return rows.select("did", "content", *COUNTS, failed.alias("base_failed"), kept.alias("n_words_kept"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"), "gone")
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
     """docs without the rejected documents and without the lines above the limit; same columns.
 
     Rows that repeat an id stay or go each by its own text."""
-    limits = {k: rules[k] for k in ("min_docs", "share") if k in rules}
     named = verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
-    kept = named.where("kept").select("did", "content").distinct()
-    gone = lines_to_remove(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
-    marked = kept.join(gone, ["did", "content"], "left").select(F.col("did").alias("did__"), F.col("content").alias("content__"), F.col("gone").alias("gone__"))
+    marked = named.where("kept").groupBy(F.col("did").alias("did__"), F.col("content").alias("content__")).agg(F.max(F.sort_array("gone")).alias("gone__"))
     rows = docs.join(marked, (internal_id(id_col) == F.col("did__")) & (content_of(text_col) == F.col("content__")))
     text = stripped(docs[text_col].cast("string"), F.col("gone__"))
     return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-#: The same rows with lines and windows as strings.
+#: The same rows with lines, windows and documents as strings.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d
@@ -186,13 +184,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS ho
 ), c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g
 ), covered AS (SELECT doc_id, i + unnest(range(0, 5)) AS p FROM c WHERE n > 1
 ), rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM covered GROUP BY doc_id
-), l AS (SELECT doc_id, host, unnest(lines) AS line FROM d
-), k AS (SELECT doc_id, host, line, md5(trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) [1:16] AS key, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+), l AS (SELECT doc_id, host, text, unnest(lines) AS line FROM d
+), k AS (SELECT doc_id, host, md5(text) AS t, line, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS key, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k GROUP BY doc_id
-), keys AS (SELECT doc_id, list_sort(list(DISTINCT key)) AS ks FROM k GROUP BY doc_id
-), signs AS (SELECT DISTINCT k.host, k.key, CASE WHEN k.key = ks[1] THEN coalesce(ks[2], '') ELSE ks[1] END AS lo, CASE WHEN k.key = ks[-1] THEN CASE WHEN len(ks) > 1 THEN ks[-2] ELSE '' END ELSE ks[-1] END AS hi FROM k JOIN keys ON k.doc_id = keys.doc_id
-), found AS (SELECT host, key, count(*) AS n FROM signs GROUP BY host, key
+), found AS (SELECT host, key, count(DISTINCT t) AS n FROM k GROUP BY host, key
 ), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
 ), over AS (SELECT f.host, f.key FROM found f JOIN hosts h ON f.host = h.host WHERE f.n > 5 AND f.n > h.docs * 0.05::DOUBLE
 ), gone AS (SELECT doc_id, sum(words) AS n FROM k SEMI JOIN over ON k.host = over.host AND k.key = over.key GROUP BY doc_id

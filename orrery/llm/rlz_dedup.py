@@ -1,24 +1,31 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-1. Each task cuts its documents into blocks of a bounded number of words and indexes each block
-   by the hashes of its 20-word windows. The block's documents are factored against it: a factor
-   is a longest run of windows whose earliest occurrences advance in step; where it ends, the
-   windows that straddle the boundary are looked up themselves, so none is lost between factors.
-   What a block holds twice is settled here, and only first occurrences leave the task, so a
+A parse reads a text from left to right. Where the 20-word window at hand is in the index of the reference, its earliest
+place there is the anchor: the words are compared one by one from the anchor on, and the factor is as long as they agree.
+The windows that straddle the factor's end are looked up themselves, and the parse goes on with the first of them that is found, or
+behind the factor. A factor has 20 words or more, and all its windows start earlier at its source, so factors cover just the repeated windows.
+
+1. Each task cuts its documents into reference blocks of a bounded number of words, indexes each block and factors the block's
+   documents against it. What a block holds twice is settled here, and only first occurrences leave the task, so a
    passage in a third of all documents leaves one row for each block.
-2. The first occurrences are dealt to reference blocks of the whole corpus. The address of a
+2. What is left is dealt to the reference blocks of the whole corpus. The address of a
    window is its least 8-word hash (a minimizer): equal windows meet in one reference block, and
-   windows in a row mostly share an address, so they travel as one row. Each reference block is
-   indexed by (document, position) order and the rows are factored against it the same way.
+   windows in a row mostly share an address, so they travel as one row, a stretch. Each reference block is
+   its stretches in (document, position) order; they are parsed against it the same way, window by window.
 3. The factors of a document become spans, and words under a span are removed.
 
+A count beforehand finds the number of stretches, which sets the number of reference blocks, and the addresses that have more
+than one in HOT of all stretches, at most HOT of them: their windows are dealt one by one, by their own hash, so that a
+common phrase in many contexts does not fill one block.
+
 A window is removed if its words also start earlier (smaller id, or the same document further
-left). Windows are compared by 64-bit hashes within an address, and judged on the input.
+left). Words are 64-bit hashes, compared one by one in step 1; in step 2 a window is one 64-bit hash, compared within a block. Judged on the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +38,12 @@ from .common import byte_texts, external_id, gram_hashes, hash_words, internal_i
 BLOCK_WORDS = 1_500_000
 #: Words of an address.
 ADDRESS = 8
-#: Reference blocks for each shuffle partition in step 2.
-BLOCKS_EACH = 16
+#: Stretches of a reference block in step 2.
+BLOCK_STRETCHES = 16_384
+#: An address with more than one in so many of all stretches is split.
+HOT = 1 << 16
+#: Stretches of an address in a task's block from which on the count beforehand knows it.
+SEEN = 8
 
 ROWS = "address long, did long, sub long, start int, windows binary, stop int, src long, src_start int"
 FACTORS = "did long, sub long, start int, stop int, src long, src_start int"
@@ -58,13 +69,42 @@ def first_places(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def factors(did, pos, src, src_pos, width: int) -> dict:
-    """Longest runs of repeated windows whose sources advance in step, as columns of FACTORS."""
-    new = np.ones(len(did), bool)
-    new[1:] = (did[1:] != did[:-1]) | (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (src_pos[1:] != src_pos[:-1] + 1)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(did)) - 1 if len(at) else at
-    return {"did": did[at], "start": pos[at].astype(np.int32), "stop": (pos[last] + width).astype(np.int32), "src": src[at], "src_start": src_pos[at].astype(np.int32)}
+def agreement(symbols: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many symbols from a on equal those from b on, at most most."""
+    done, size = 0, 32
+    while done < most:
+        size = min(size, most - done)
+        differ = symbols[a + done : a + done + size] != symbols[b + done : b + done + size]
+        at = int(differ.argmax())
+        if differ[at]:
+            return done + at
+        done, size = done + size, size * 4
+    return done
+
+
+def parse(symbols: np.ndarray, ends: np.ndarray, at: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, source) of the factors of the stretches that symbols are.
+
+    ends: the end of each place's stretch; at: the places, ascending, whose window of width symbols is indexed at anchor, further left."""
+    out: list[tuple[int, int, int]] = []
+    places, anchors = at.tolist(), anchor.tolist()
+    i, n = 0, len(places)
+    while i < n:
+        a, b = places[i], anchors[i]
+        length = agreement(symbols, a, b, int(min(ends[a] - a, ends[b] - b)))
+        if length < width:  # equal hashes of different words
+            i += 1
+            continue
+        out.append((a, length, b))
+        i = bisect_left(places, a + length - width + 1, i + 1)  # the first window over the factor's end
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def factors(symbols, ends, at, anchor, doc, pos, width: int, words: int) -> dict:
+    """parse's factors as columns of FACTORS with document numbers; a window of width symbols is words words."""
+    place, length, source = parse(symbols, ends, at, anchor, width)
+    start = pos[place]
+    return {"did": doc[place], "start": start.astype(np.int32), "stop": (start + length - width + words).astype(np.int32), "src": doc[source], "src_start": pos[source].astype(np.int32)}
 
 
 def named(found: dict, did: np.ndarray, sub: np.ndarray) -> dict:
@@ -78,8 +118,38 @@ def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def block_rows(block: list[tuple[int, int, np.ndarray]], width: int) -> pa.RecordBatch:
-    """Factors within the block, and the windows that the block has first, run by run."""
+def windows_of(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, ...]:
+    """flat (the words of all documents), begin (of each document), and of each window: doc, pos, address."""
+    flat = np.concatenate(docs)
+    sizes = np.array([len(w) for w in docs])
+    begin = np.cumsum(sizes) - sizes
+    starts = sizes - width + 1
+    doc = np.repeat(np.arange(len(docs)), starts)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts)
+    size = min(ADDRESS, width)
+    return flat, begin, doc, pos, signed(sliding_min(gram_hashes(flat, size), width - size + 1)[begin[doc] + pos])
+
+
+def stretches(doc: np.ndarray, pos: np.ndarray, address: np.ndarray) -> np.ndarray:
+    """Where runs of windows in a row with one address begin."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (address[1:] != address[:-1])
+    return np.flatnonzero(new)
+
+
+def block_census(block: list[np.ndarray], width: int) -> pa.RecordBatch:
+    """Stretches of the addresses that have SEEN or more, and (under null) of all."""
+    docs = [w for w in block if len(w) >= width]
+    address, n = np.zeros(0, np.int64), 0
+    if docs:
+        _, _, doc, pos, address = windows_of(docs, width)
+        address, counts = np.unique(address[stretches(doc, pos, address)], return_counts=True)
+        n, address, counts = counts.sum(), address[counts >= SEEN], counts[counts >= SEEN]
+    return pa.RecordBatch.from_pydict({"address": pa.array([None, *address.tolist()], pa.int64()), "n": pa.array([n, *(counts.tolist() if len(address) else [])], pa.int64())})
+
+
+def block_rows(block: list[tuple[int, int, np.ndarray]], width: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Factors within the block, and the windows that the block has first, stretch by stretch."""
     ids = {}
     for did, sub, words in block:
         if len(words) >= width:
@@ -88,26 +158,21 @@ def block_rows(block: list[tuple[int, int, np.ndarray]], width: int) -> pa.Recor
     schema = pa.schema([("address", pa.int64()), ("did", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("windows", pa.binary()), ("stop", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
     if not docs:
         return pa.RecordBatch.from_pylist([], schema)
-    flat = np.concatenate([w for _, w in docs])
-    sizes = np.array([len(w) for _, w in docs])
-    begin = np.cumsum(sizes) - sizes
-    starts = sizes - width + 1
-    doc = np.repeat(np.arange(len(docs)), starts)
-    pos = np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts)
+    flat, begin, doc, pos, address = windows_of([w for _, w in docs], width)
     place = begin[doc] + pos
-    size = min(ADDRESS, width)
-    address = signed(sliding_min(gram_hashes(flat, size), width - size + 1)[place])
     window = gram_hashes(flat, width)[place]
     ids, subs = (np.array([k[i] for k, _ in docs], np.int64) for i in (0, 1))
     first = first_places(window)
     again = np.flatnonzero(first != np.arange(len(first)))
-    own = named(factors(doc[again], pos[again], doc[first[again]], pos[first[again]], width), ids, subs)
+    whose = np.repeat(np.arange(len(docs)), [len(w) for _, w in docs])
+    found = factors(flat, np.append(begin[1:], len(flat))[whose], place[again], place[first[again]], whose, np.arange(len(flat)) - begin[whose], width, width)
+    own = named(found, ids, subs)
     n_own = len(own["did"])
     kept = np.flatnonzero(first == np.arange(len(first)))
     window, doc, pos, address = window[kept], doc[kept], pos[kept], address[kept]
-    run = np.ones(len(kept), bool)
-    run[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (address[1:] != address[:-1])
-    at = np.flatnonzero(run)
+    if len(hot):
+        address = np.where(np.isin(address, hot), signed(window), address)
+    at = stretches(doc, pos, address)
     n = len(at)
     none = pa.nulls
     return pa.RecordBatch.from_arrays(
@@ -126,7 +191,7 @@ def block_rows(block: list[tuple[int, int, np.ndarray]], width: int) -> pa.Recor
 
 
 def reference_block(table: pa.Table, width: int) -> pa.Table:
-    """Factors of a reference block's rows against the block, besides those found before."""
+    """Factors of a reference block's stretches against the block, besides those found before."""
     names = ["did", "sub", "start", "stop", "src", "src_start"]
     done = table.filter(pc.is_valid(table["stop"])).select(names)
     rows = table.filter(pc.is_valid(table["windows"])).select(["did", "sub", "start", "windows"]).sort_by([("did", "ascending"), ("sub", "ascending"), ("start", "ascending")])
@@ -142,7 +207,9 @@ def reference_block(table: pa.Table, width: int) -> pa.Table:
     pos = np.repeat(rows["start"].to_numpy().astype(np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(window))
     first = first_places(window)
     again = np.flatnonzero((doc[first] != doc) | (pos[first] != pos))
-    found = named(factors(doc[again], pos[again], doc[first[again]], pos[first[again]], width), ids, subs)
+    at = stretches(doc, pos, doc)
+    ends = np.repeat(np.append(at[1:], len(doc)), np.diff(np.append(at, len(doc))))
+    found = named(factors(window, ends, again, first[again], doc, pos, 1, width), ids, subs)
     return pa.concat_tables([done, pa.table(found, schema=done.schema)])
 
 
@@ -163,19 +230,33 @@ def keyed_factors(rows: DataFrame, width: int) -> DataFrame:
     """duplicate_factors of rows did, sub, text, with sub."""
     spark = prepared(rows.sparkSession)
 
-    def local(batches):
+    def blocks_of(batches):
         block, size = [], 0
         for batch in batches:
             for did, sub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
                 block.append((did, sub, hash_words(text.split())))
                 size += len(block[-1][2])
                 if size >= BLOCK_WORDS:
-                    yield block_rows(block, width)
+                    yield block
                     block, size = [], 0
-        yield block_rows(block, width)
+        yield block
+
+    def census(batches):
+        for block in blocks_of(batches):
+            yield block_census([words for _, _, words in block], width)
+
+    counted = rows.mapInArrow(census, "address long, n long").groupBy("address").agg(F.sum("n").alias("n")).checkpoint()
+    total = counted.where("address is null").select("n").first()
+    total = total[0] if total else 0
+    # those with more than one in HOT of all stretches are at most HOT
+    hot = np.array(sorted(r[0] for r in counted.where(F.col("address").isNotNull() & (F.col("n") > total / HOT) & (F.col("n") > BLOCK_STRETCHES / 4)).select("address").toLocalIterator()), np.int64)
+
+    def local(batches):
+        for block in blocks_of(batches):
+            yield block_rows(block, width, hot)
 
     rows = rows.mapInArrow(local, ROWS)
-    blocks = partitions(spark) * BLOCKS_EACH
+    blocks = max(partitions(spark), -(-total // BLOCK_STRETCHES))
     # the block stands for the address from here on, which saves eight bytes a row of shuffle
     dealt = rows.select(F.pmod("address", F.lit(blocks)).cast("int").alias("block"), "did", "sub", "start", "windows", "stop", "src", "src_start")
     return dealt.groupBy("block").applyInArrow(lambda table: reference_block(table, width), FACTORS)

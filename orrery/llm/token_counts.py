@@ -6,11 +6,13 @@ its merges (``word_bpe_49k.json``): neither a merge, a special string, a case fo
 reaches across it, so the count of a text is the sum over its pieces. Pieces recur (a task's
 text has about one distinct piece in ten), so each worker encodes a distinct piece once, in
 encode_batch calls of a bounded number of bytes, and keeps the lengths in a bounded table.
-Vocabularies that keep white space take whole texts (``split=False``), batched by bytes alike.
+Other vocabularies take whole texts, batched by bytes alike; ``drops_space`` tells from the vocabulary's own file which it
+is. A text without white space is one piece, and is handed to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -25,12 +27,35 @@ ENCODE_BYTES, WORK_BYTES = 1 << 18, 4 << 20
 KEPT = 400_000
 
 
+#: What drops_space puts on either side of white space: letters, marks, digits, signs, contractions, cased and composed letters.
+PROBES = ("a", "Word", "é", "e\u0301", "\u0301", "İΣ", "7", "42", "'", "'s", "it's", "-", "...", "(x)", "日本", "😀", "<|endoftext|>", "_")
+
+
+def drops_space(path: str, model) -> bool:
+    """Whether a vocabulary can be counted piece by piece between ASCII white space.
+
+    Its file must say that it splits texts before its merges and drops what is between, with no added string that holds or takes
+    white space; and no probe may count otherwise beside white space than alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    splitter = spec.get("pre_tokenizer") or {"type": ""}
+    first = splitter["pretokenizers"][0] if splitter["type"] == "Sequence" else splitter
+    if first["type"] not in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") and not (first["type"] == "Split" and first.get("behavior") == "Removed"):
+        return False
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t["content"] != "".join(t["content"].split()) for t in spec.get("added_tokens") or []):
+        return False
+    sizes = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    alone = sizes(list(PROBES))
+    pairs = [(i, j, gap) for i in range(len(PROBES)) for j in range(len(PROBES)) for gap in " \t\n\r\x0b\x0c"]
+    return sizes([PROBES[i] + gap + PROBES[j] for i, j, gap in pairs]) == [alone[i] + alone[j] for i, j, _ in pairs]
+
+
 class Counter:
     """Counts tokens; one per Python worker and task."""
 
-    def __init__(self, path: str, split: bool) -> None:
+    def __init__(self, path: str, split: bool | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.split, self.known = split, {}
+        self.split, self.known = bool(split), {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -43,6 +68,8 @@ class Counter:
             model.no_truncation()
             model.no_padding()
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            if split is None:
+                self.split = drops_space(path, model)
 
     def lengths(self, texts: list[str]) -> list[int]:
         """Tokens of each text, ENCODE_BYTES at a time."""
@@ -79,13 +106,13 @@ def by_bytes(texts: list[bytes], most: int):
         yield texts[first:]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 2048, split: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 2048, split: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs, whole texts, no shuffle.
 
     Args:
         tokenizer: path of a ``.json`` (tokenizers) or ``.model`` (sentencepiece) file, readable on executors.
         limit: over_limit is n_tokens > limit.
-        split: cut at white space; only right for vocabularies that drop it.
+        split: cut at white space, only right for vocabularies that drop it; left out, ``drops_space`` decides.
 
     A null text counts as empty (0 bytes, 0 tokens, not over); a null id stays null; repeated
     rows are counted each; an empty table gives an empty result."""

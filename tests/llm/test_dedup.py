@@ -33,6 +33,63 @@ def classes(fps, radius=2):
     return [root(i) for i in range(len(a))]
 
 
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    """Edited copies at similarities around 0.8 beside others: groups are those of all pairs at 0.8 or more, short of chance misses."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in range(40):
+        words = [f"w{rng.integers(0, 5000)}" for _ in range(int(rng.integers(60, 400)))]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.06):
+            edited = [f"e{rng.integers(0, 5000)}" if rng.random() < share else w for w in words]
+            rows.append((len(rows), " ".join(edited)))
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at, named = S.similar_groups(df)
+    root = {r["did"]: r["root"] for r in at.join(named, "content").collect()}
+    near = [(i, j) for i, j in links if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])]
+    found = lambda pairs: sum(root[i] == root[j] for i, j in pairs) / len(pairs)
+    assert len(links) > 300 and len(near) > 200 and found(near) >= 0.99 and found(links) >= 0.95
+    # nothing is joined that links do not reach
+    reach = classes_of(len(rows), links)
+    assert all(reach[i] == reach[j] for i in range(len(rows)) for j in range(i) if root[i] == root[j])
+
+
+def classes_of(n, links):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return [top(i) for i in range(n)]
+
+
+def test_long_lists_are_compared_by_chunks(spark, monkeypatch):
+    """A hundred near copies in lists of eight members."""
+    monkeypatch.setattr(S, "LIST_MEMBERS", 8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:i], f"own{i}", *words[i:]])) for i in range(100)]
+    kept = S.one_per_similar_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in kept] == rows[:1]
+
+
+def test_similar_groups_of_odd_rows(odd, none):
+    kept = S.one_per_similar_group(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 5, 6]
+    assert S.one_per_similar_group(none).count() == 0
+
+
 def test_components_equal_all_pairs(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     fps = [simhash(t) for _, t in rows]
@@ -123,3 +180,44 @@ def test_factors_name_earlier_sources(spark):
     shared = " ".join(f"w{i}" for i in range(25))
     df = spark.createDataFrame([(1, f"x y {shared}"), (2, f"z {shared} q")], "doc_id long, text string")
     assert [tuple(r) for r in R.duplicate_factors(df).collect()] == [(2, 1, 26, 1, 2)]
+
+
+def test_factor_over_many_windows_ends_within_one(spark):
+    """A passage of 87 words copied into two texts, with other text on both sides and a second source behind its end."""
+    passage, other = [f"p{i}" for i in range(87)], [f"q{i}" for i in range(40)]
+    rows = [
+        (1, " ".join(["a1", "a2", *passage, "a3"])),
+        (2, " ".join(["b1", *passage[60:], *other[:30], "b2"])),
+        (3, " ".join(["c1", *passage, *other[:25], "c2", "c3"])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in R.remove_repeats(df).collect()}
+    assert got == repeats(rows, 20) and got[3][1] == 87 + 25
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in R.remove_repeats(df.coalesce(1)).collect()}
+    assert spans == {1: [], 2: [(1, 28)], 3: [(1, 113)]}
+
+
+def test_greedy_parse_takes_the_longest_factor_and_looks_over_its_end():
+    text = np.array([1, 2, 3, 4, 5, 6, 0, 4, 5, 6, 7, 8, 0, 1, 2, 3, 4, 5, 6, 7, 8], np.uint64)
+    ends = np.repeat([6, 12, 21], [6, 6, 9])
+    windows = [tuple(text[i : i + 3].tolist()) for i in range(19)]
+    inside = [i for i in range(19) if i + 3 <= ends[i]]
+    first = {}
+    for i in inside:
+        first.setdefault(windows[i], i)
+    at = np.array([i for i in inside if first[windows[i]] != i])
+    place, length, source = R.parse(text, ends, at, np.array([first[windows[i]] for i in at]), 3)
+    assert list(zip(place, length, source)) == [(7, 3, 3), (13, 6, 0), (17, 4, 8)]
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 16])
+def test_hot_addresses_are_split(spark, monkeypatch, hot):
+    """A phrase of eight words in 600 contexts, some of them equal, with and without its address dealt by window."""
+    monkeypatch.setattr(R, "SEEN", 1)
+    monkeypatch.setattr(R, "BLOCK_STRETCHES", 16)
+    monkeypatch.setattr(R, "HOT", 200 if hot == 1 else hot)
+    phrase = [f"common{i}" for i in range(8)]
+    rows = [(i, " ".join([*(f"x{i % 500}y{j}" for j in range(14)), *phrase, *(f"z{i % 500}y{j}" for j in range(14))])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in R.remove_repeats(df).collect()}
+    assert got == repeats(rows, 20) and got[599][1] == 36

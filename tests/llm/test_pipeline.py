@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from test_dedup import classes, simhash
+from test_dedup import shingle_set
 from test_text_operators import PATTERNS, counts, luhn
 
 
@@ -18,16 +18,14 @@ def words(text):
 
 
 def quality(docs):
-    norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x).lower().strip(" ")
-    key = lambda x: hashlib.md5(norm(x).encode()).hexdigest()[:16]
-    signs, hosts = {}, {}
+    key = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x).lower().strip(" ")
+    held, hosts = {}, {}
     for d in docs:
         hosts.setdefault(d["source"], set()).add(d["text"])
-        keys = sorted({key(x) for x in d["text"].split("\n") if words(x)})
-        for k in keys:
-            rest = [x for x in keys if x != k]
-            signs.setdefault((d["source"], k), set()).add((rest[0], rest[-1]) if rest else None)
-    over = {h for h, s in signs.items() if len(s) > 5 and len(s) > 0.05 * len(hosts[h[0]])}
+        for x in d["text"].split("\n"):
+            if words(x):
+                held.setdefault((d["source"], key(x)), set()).add(d["text"])
+    over = {h for h, texts in held.items() if len(texts) > 5 and len(texts) > 0.05 * len(hosts[h[0]])}
     out = []
     for d in docs:
         n, *_, repeats = counts(d["text"])
@@ -39,9 +37,23 @@ def quality(docs):
 
 
 def near_dedup(docs):
+    """Documents whose 5-word shingles are 0.8 similar are linked, over all pairs; the least id of what links reach stays."""
     docs = sorted(docs, key=lambda d: d["doc_id"])
-    roots = classes([simhash(d["text"]) for d in docs])
-    return [d for i, d in enumerate(docs) if roots[i] == i]
+    sets = [shingle_set(d["text"]) for d in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [d for i, d in enumerate(docs) if root[i] == i]
 
 
 def pii(docs):

@@ -5,6 +5,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oracle import same_rows
@@ -132,21 +133,36 @@ def test_lines_above_the_limit(spark):
     assert "Service" not in clean[0] and clean[0].count("\n") == 3 and 100 not in clean and "service" in clean[300]
 
 
-def test_line_counts_equal_brute_force(docs):
-    """Which lines are over the limit, from plain sets."""
-    norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x).lower().strip(" ")
-    rows = [(r["source"], r["text"]) for r in docs.collect()]
-    signs, texts = {}, {}
+def over_limit(rows, min_docs, share):
+    """(host, normalised line) of the lines in too many distinct texts of (host, text), from plain sets."""
+    held, texts = {}, {}
     for host, text in rows:
         texts.setdefault(host, set()).add(text)
-        keys = sorted({hashlib.md5(norm(x).encode()).hexdigest()[:16] for x in text.split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")})
-        for k in keys:
-            rest = [x for x in keys if x != k]
-            signs.setdefault((host, k), set()).add((rest[0], rest[-1]) if rest else None)
-    want = {key for key, s in signs.items() if len(s) > 1 and len(s) > 0.02 * len(texts[key[0]])}
-    lines = Q.line_table(docs, "doc_id", "text", "source")
-    got = {tuple(r) for r in Q.frequent_lines(lines, docs, min_docs=1, share=0.02, text_col="text", host_col="source").collect()}
-    assert got == want and want
+        for x in text.split("\n"):
+            if x.strip("\x20\x09\x0a\x0b\x0c\x0d"):
+                held.setdefault((host, re.sub("[\x20\x09-\x0d]+", " ", x).lower().strip(" ")), set()).add(text)
+    return {key for key, s in held.items() if len(s) > min_docs and len(s) > share * len(texts[key[0]])}
+
+
+def test_line_counts_equal_brute_force(spark, docs):
+    rows = [(r["source"], r["text"]) for r in docs.collect()]
+    want = over_limit(rows, 1, 0.02)
+    table = Q.line_table(docs, "doc_id", "text", "source")
+    got = {tuple(r) for r in Q.frequent_lines(table, min_docs=1, share=0.02).collect()}
+    keyed = spark.createDataFrame(list(want), "host string, line string").select("host", Q.line_key(F.col("line")))
+    assert got == {tuple(r) for r in keyed.collect()} and want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_template_of_many_lines(spark, monkeypatch, few):
+    """300 documents of 60 template lines and a line of their own: the template goes, by either join."""
+    monkeypatch.setattr(Q, "BROADCAST_LINES", few)
+    template = "\n".join(f"template line {j} of this host" for j in range(60))
+    rows = [(i, f"{template}\nwhat only document {i} has to say in words of its own, of which there are {i}", "h") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Q.quality(df, min_kept=0.01).collect()
+    assert len(got) == 300 and all(r["n_words_kept"] == 16 and r["kept"] for r in got)
+    assert {r["text"] for r in Q.clean(df, min_kept=0.01).collect()} == {t.split("\n")[-1] for _, t, _ in rows}
 
 
 @pytest.mark.parametrize("name", ["op3_raked_mixture", "op6_line_frequency_quality", "op10_substring_dedup"])
@@ -209,6 +225,15 @@ def test_whole_texts_for_other_vocabularies(docs):
     assert all(r["n_tokens"] == len(model.encode(text[r["doc_id"]])) for r in K.count_tokens(docs, path, split=False).collect())
 
 
+def test_vocabularies_that_keep_space_take_whole_texts(docs):
+    """Without split: byte_bpe_50k joins a space to the word behind it, so its texts must not be cut."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert K.drops_space(public_tokenizers.path("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) and not K.drops_space(path, whole)
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert all(r["n_tokens"] == len(whole.encode(text[r["doc_id"]], add_special_tokens=False).ids) for r in K.count_tokens(docs, path).collect())
+
+
 def test_token_counts_of_odd_rows(odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = K.count_tokens(odd, path)

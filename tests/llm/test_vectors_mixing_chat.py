@@ -48,6 +48,26 @@ def test_recall_with_a_dense_group(spark):
     assert sum(len(set(got[q]) & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 10 * len(want)
 
 
+def test_recall_over_blocks_of_rows_without_clusters(spark):
+    """Four blocks of Gaussian vectors, the hardest case: recall at 10 and the postings that a query reads."""
+    x = np.random.default_rng(6).normal(size=(26_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, score string")
+    want, got = {}, {}
+    norms = (x.astype(float) ** 2).sum(1)
+    for i in range(0, len(x), 200):
+        d = norms - 2 * (x @ x[i]).astype(float)
+        d[i] = np.inf
+        want[i] = set(np.argsort(d)[:10].tolist())
+    for r in P.nearest(df, df.where("vec_id % 200 = 0")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    recall = np.mean([len(want[i] & set(got[i])) / 10 for i in want])
+    assert all(len(g) == 10 for g in got.values()) and set(got) == set(want) and recall >= 0.9
+    block = x[: P.BLOCK_ROWS].astype(float)
+    files = P.Block(np.arange(len(block)), block, block[:512], 16).files
+    read = [sum(files.first[p + 1] - files.first[p] for p in o) for o in P.orders(block[:100], block[:512], 16)]
+    assert np.mean(read) < 0.7 * len(block)
+
+
 def test_footrule_equals_its_definition():
     rng = np.random.default_rng(0)
     order = np.array([rng.permutation(12)[:5] for _ in range(40)], np.int32)
