@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by its nearest pivots in order, a short prefix of all pivots. Rows are dealt to blocks of a bounded number
+A vector is represented by its nearest pivots in order, a short prefix of all pivots. Nearness is taken in units of what is usual for
+the pivot (mean and deviation of its distances to the sample), else central pivots would be near to everything and their files long. Rows are dealt to blocks of a bounded number
 of rows; in each block every pivot has an inverted file of the rows that list it, with the place where they do. A
 query reads the files of its own pivots only, which gives the footrule distance of the orders (a pivot that one order lacks counts as
 just behind its end) to the rows that share one; the least footrules of the block are reranked by the exact
@@ -37,13 +38,28 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
 
 
-def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> np.ndarray:
+class Pivots:
+    """At most n pivots spread over a sample, and what distances are usual for each."""
+
+    def __init__(self, sample: np.ndarray, n: int) -> None:
+        self.at = spread_out(sample, n)
+        d = self.distances(sample)
+        self.mean, self.dev = (d.mean(0), np.maximum(d.std(0), 1e-12)) if len(sample) else (np.zeros(0), np.zeros(0))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.at**2).sum(1) - 2 * (x @ self.at.T), 0))
+
+
+def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> Pivots:
     """Pivots spread over a sample of at most sample rows (those of least hash), of its commonest dimension."""
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).collect()
     sizes = [len(r["v"]) for r in drawn]
     size = max(sorted(set(sizes)), key=sizes.count) if sizes else 0
     distinct = dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == size)
-    return spread_out(np.array([*distinct], np.float64).reshape(len(distinct), size), pivots)
+    return Pivots(np.array([*distinct], np.float64).reshape(len(distinct), size), pivots)
 
 
 def spread_out(x: np.ndarray, n: int) -> np.ndarray:
@@ -69,10 +85,9 @@ def spread_out(x: np.ndarray, n: int) -> np.ndarray:
     return x[taken]
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+def orders(x: np.ndarray, pivots: Pivots, length: int) -> np.ndarray:
     """The length nearest pivots of each row of x, nearest first, ties to the smaller pivot."""
-    d = (pivots**2).sum(1) - 2 * (x @ pivots.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :length].astype(np.int32)
+    return np.argsort((pivots.distances(x) - pivots.mean) / pivots.dev, axis=1, kind="stable")[:, :length].astype(np.int32)
 
 
 class InvertedFiles:
@@ -99,7 +114,7 @@ class InvertedFiles:
 class Block:
     """The index of a block's rows; ids ascend."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: Pivots, length: int) -> None:
         _, at, inverse = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
         self.by = np.argsort(inverse, kind="stable")
         self.begin = np.searchsorted(inverse[self.by], np.arange(len(at) + 1))
@@ -135,7 +150,7 @@ def arrays(batches: list[pa.RecordBatch], size: int) -> tuple[np.ndarray, np.nda
     return ids[first], np.ascontiguousarray(x[first])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, pivots: int = 512, length: int = 16, rerank: int = 3_200, pivot_sample: int = 2_048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, pivots: int = 512, length: int = 16, rerank: int = 3_400, pivot_sample: int = 2_048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest vectors found for each query, nearest first, ties to the smaller vec_id.
 
     Args:
@@ -149,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, pivots: int
     spark = prepared(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
     chosen = choose_pivots(rows, pivots, pivot_sample)
-    length, size = min(length, max(len(chosen), 1)), chosen.shape[1]
+    length, size = min(length, max(len(chosen), 1)), chosen.at.shape[1]
     asked = usable(queries, id_col, vector_col)
     rows, asked = (x.where(F.size("v") == F.lit(size)) for x in (rows, asked))
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))

@@ -63,8 +63,9 @@ def test_recall_over_blocks_of_rows_without_clusters(spark):
     recall = np.mean([len(want[i] & set(got[i])) / 10 for i in want])
     assert all(len(g) == 10 for g in got.values()) and set(got) == set(want) and recall >= 0.9
     block = x[: P.BLOCK_ROWS].astype(float)
-    files = P.Block(np.arange(len(block)), block, block[:512], 16).files
-    read = [sum(files.first[p + 1] - files.first[p] for p in o) for o in P.orders(block[:100], block[:512], 16)]
+    pivots = P.Pivots(x[-2048:].astype(float), 512)
+    files = P.Block(np.arange(len(block)), block, pivots, 16).files
+    read = [sum(files.first[p + 1] - files.first[p] for p in o) for o in P.orders(block[:100], pivots, 16)]
     assert np.mean(read) < 0.7 * len(block)
 
 
