@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return bitsliced_simhash.one_per_group(docs)
+    """One document stays of each group of texts whose 5-word shingles are 0.8 similar; SimHash finds the candidates."""
+    return bitsliced_simhash.one_per_similar_group(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; tables between them go under the shared checkpoint folder."""
+    """The stages applied to documents. Tables between them go under the shared checkpoint folder, each until the next is whole;
+    the last one is what is returned, and stays."""
     prepared(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
     docs = documents(spark, sf_dir)
@@ -60,4 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if i:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
