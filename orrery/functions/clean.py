@@ -122,9 +122,51 @@ def engineer_16(raw: DataFrame, keep: Sequence[str] = ("row_idx",)) -> DataFrame
     return existing(with_calendar(with_duration(clean_trips(raw))), [*keep, *FEATURES_16, TARGET])
 
 
+#: Buckets of a pass of exact_median, and values that one aggregate may hold.
+MEDIAN_BUCKETS, MEDIAN_VALUES = 4096, 1_000_000
+
+
+def exact_median(df: DataFrame, name: str) -> float | None:
+    """The median of a column, null without values, in passes that count buckets: each narrows the range to the buckets of the middle
+    rows, until few enough values are left for one exact aggregate. No pass moves more than its buckets."""
+    v = F.col(name).cast("double")
+    rows = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    want = [(n - 1) // 2, n // 2]  # ranks of the middle rows, from 0
+    while n > MEDIAN_VALUES and low < high:
+        width = (high - low) / MEDIAN_BUCKETS
+        if not width or low + width == low or width == float("inf"):
+            break
+        at = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(MEDIAN_BUCKETS - 1))
+        counts = rows.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("at").collect()
+        before, kept = 0, []
+        for r in counts:
+            if before <= want[1] and before + r["n"] > want[0]:
+                kept.append((before, r))
+            before += r["n"]
+        if sum(r["n"] for _, r in kept) == n:
+            break
+        want = [w - kept[0][0] for w in want]
+        n, low, high = sum(r["n"] for _, r in kept), kept[0][1]["low"], kept[-1][1]["high"]
+        rows = rows.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+    if low == high:
+        return low
+    # the values left by how often they occur: at most MEDIAN_VALUES, but for ranges that cannot be divided further
+    seen, ends = 0, []
+    for r in rows.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").toLocalIterator():
+        seen += r["n"]
+        while len(ends) < 2 and seen > want[len(ends)]:
+            ends.append(r["v"])
+        if len(ends) == 2:
+            break
+    return (ends[0] + ends[1]) / 2
+
+
 def impute_median(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Nulls of the named columns become the column's exact median, from one aggregate."""
-    medians = df.agg(*[F.median(c).alias(c) for c in names]).first().asDict()
+    """Nulls of the named columns become the column's exact median."""
+    medians = {c: exact_median(df, c) for c in names}
     return df.fillna({c: m for c, m in medians.items() if m is not None})
 
 

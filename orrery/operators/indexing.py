@@ -36,9 +36,11 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> D
     """A4: df with its rows numbered 0..N-1 by order, without a window over all rows.
 
     Rows are range-partitioned and frozen by a checkpoint; a task numbers its own rows, and the offsets, one row
-    for each partition (which bounds the broadcast), are added."""
+    for each partition (which bounds the broadcast), are added. Rows that tie in order are told apart by a hash of the row, so that
+    a value of many rows does not fill one partition."""
     prepared(df.sparkSession)
-    frozen = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id__", F.monotonically_increasing_id()).checkpoint()
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])
+    frozen = df.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).withColumn("id__", F.monotonically_increasing_id()).checkpoint()
     part, own = F.shiftright("id__", 33), F.col("id__").bitwiseAND(F.lit((1 << 33) - 1))
     starts = chunk_offsets(frozen, part).select(F.col("chunk").alias("chunk__"), F.col("start").alias("start__"))
     return frozen.join(F.broadcast(starts), part == F.col("chunk__")).withColumn(name, (own + F.col("start__")).cast("long")).drop("id__", "chunk__", "start__")
@@ -99,13 +101,25 @@ def block_order(df: DataFrame, size: int, key: Column, index: str = "row_idx") -
     return dense_index(blocks, ["key__", "block"], "rank__").select("block", (F.col("rank__") + 1).cast("int").alias("block_rank"))
 
 
+#: Physical rows of a stretch in runs.
+SPAN = 1 << 16
+
+
 def runs(df: DataFrame, group: str, physical: str) -> DataFrame:
-    """For each group the runs of consecutive physical rows: first, n_rows. What a reader would fetch in one piece."""
-    by = Window.partitionBy(group).orderBy(physical)
-    new = (F.col(physical) - F.lag(physical).over(by) != 1) | F.lag(physical).over(by).isNull()
-    marked = df.withColumn("new__", new.cast("int"))
-    numbered = marked.withColumn("run", F.sum("new__").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(group, "run").agg(F.min(physical).alias("first"), F.count("*").alias("n_rows"))
+    """For each group the runs of consecutive physical rows: run (from 1), first, n_rows. What a reader would fetch in one piece.
+
+    A run starts where the row before is not of the group and ends where the next is not, which are joins on single rows; starts and
+    ends are numbered by stretches of physical rows, so no window holds a group."""
+    rows = df.select(group, F.col(physical).alias("p__")).distinct()
+
+    def edges(step: int, name: str) -> DataFrame:
+        beside = rows.select(group, (F.col("p__") + step).alias("p__"))
+        found = rows.join(beside, [group, "p__"], "left_anti").withColumn("span__", F.floor(F.col("p__") / SPAN))
+        starts = prefix_starts(found.groupBy(group, "span__").agg(F.count("*").alias("n__")), "span__", "n__", [group]).select(group, "span__", F.col("start").alias("start__"))
+        own = F.row_number().over(Window.partitionBy(group, "span__").orderBy("p__"))
+        return found.withColumn("own__", own).join(starts, [group, "span__"]).select(group, (F.col("own__") + F.col("start__")).alias("run"), F.col("p__").alias(name))
+
+    return edges(1, "first").join(edges(-1, "last__"), [group, "run"]).select(group, "run", "first", (F.col("last__") - F.col("first") + 1).alias("n_rows"))
 
 
 def inverse_positions(df: DataFrame, group: str, logical: str, physical: str) -> DataFrame:

@@ -7,12 +7,14 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import SEED, TEST_RATIO
-from .indexing import batch_of, permute, random_key
+from .indexing import batch_of, permute, prefix_starts, random_key
 
 #: A prime over any batch or shard; keys of draws inside groups are (a * index + b) mod PRIME.
 PRIME = 2_147_483_647
 #: Multipliers stay under this, so the product with an index under 2**43 is exact.
 MULTIPLIER = 1_000_003
+#: Draws of a range in epoch_batches: some 2,000 ranges a shard.
+RANGE = 1 << 20
 
 
 def draw_key(index: Column, seed: int) -> Column:
@@ -44,7 +46,12 @@ def minibatch(df: DataFrame, shard: str, size: int, *, epoch: int = 0, seed: int
 
 
 def epoch_batches(df: DataFrame, shard: str, size: int, *, epoch: int = 0, seed: int = 12_345, index: str = "row_idx") -> DataFrame:
-    """Df with batch: the rows of each shard shuffled (anew each epoch) and cut into batches."""
-    order = draw_key(F.col(index), seed + epoch)
-    place = F.row_number().over(Window.partitionBy(shard).orderBy(order, index)) - 1
-    return df.withColumn("batch", batch_of(place, size))
+    """Df with batch: the rows of each shard shuffled (anew each epoch) and cut into batches.
+
+    Rows are ranked within ranges of their draw and offset by the counts of the ranges before, so no window holds a shard."""
+    drawn = df.withColumn("key__", draw_key(F.col(index), seed + epoch)).withColumn("range__", F.floor(F.col("key__") / RANGE))
+    counts = drawn.groupBy(shard, "range__").agg(F.count("*").alias("n__"))
+    starts = prefix_starts(counts, "range__", "n__", [shard]).select(shard, "range__", F.col("start").alias("start__"))
+    own = F.row_number().over(Window.partitionBy(shard, "range__").orderBy("key__", index)) - 1
+    placed = drawn.withColumn("own__", own).join(starts, [shard, "range__"])
+    return placed.withColumn("batch", batch_of(F.col("own__") + F.col("start__"), size)).select(*df.columns, "batch")

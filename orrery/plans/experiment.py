@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -11,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 @dataclass(frozen=True)
 class TrainConfig:
-    """The settings of a training run."""
+    """The settings of a training run.
+
+    shuffle is that of mode 'minibatch': 'affine', 'block' or 'local' (plans.trainer.batches); key fixes the multiplier and shift of the
+    affine permutation, which else are drawn anew each epoch. q_super batches are read at once."""
 
     mode: str = "minibatch"
     activation: str = "leaky_relu"
@@ -33,6 +38,7 @@ class TrainConfig:
     min_delta: float = 1e-6
     tolerance: float = 1e-9
     shuffle: str = "affine"
+    key: tuple[int, int] | None = None
     init: str = "auto"
     seed: int = 2025
     log_every: int = 10
@@ -69,16 +75,36 @@ def tally(results: DataFrame) -> DataFrame:
 
 
 def run_all(runs: DataFrame, results: DataFrame, run: Callable[[dict], float], limit_s: float = 3600.0) -> DataFrame:
-    """Each pending run once, in order of name; a failure or an overlong run is a result, not an end. name, success, time, value, error."""
+    """Each pending run once, in order of name; a failure or an overlong run is a result, not an end. name, success, time, value, error.
+
+    A run over limit_s has its Spark jobs cancelled, which ends it."""
     spark, out = runs.sparkSession, []
+    context = spark.sparkContext
     for config in sorted((r.asDict() for r in pending(runs, results).collect()), key=lambda c: c["name"]):
-        began = time.monotonic()
+        began, group = time.monotonic(), f"run-{uuid.uuid4().hex}"
+        context.setJobGroup(group, config["name"], interruptOnCancel=True)
+        over = threading.Event()
+
+        def end(group: str = group, over: threading.Event = over) -> None:
+            over.set()
+            while over.is_set():  # a run that starts another job is cancelled again
+                context.cancelJobGroup(group)
+                time.sleep(0.2)
+
+        timer = threading.Timer(limit_s, end)
+        timer.daemon = True
+        timer.start()
         try:
             value, error = float(run(config)), ""
         except Exception as e:  # noqa: BLE001 a run may fail in any way
             value, error = None, f"{type(e).__name__}: {e}"
+        finally:
+            timer.cancel()
+            late = over.is_set()
+            over.clear()
+            context.setLocalProperty("spark.jobGroup.id", None)
         took = time.monotonic() - began
-        if not error and took > limit_s:
-            error = "over the time limit"
+        if late or took > limit_s:
+            value, error = None, "over the time limit"
         out.append((config["name"], not error, took, value, error))
     return spark.createDataFrame(out, "name string, success boolean, time double, value double, error string")

@@ -7,16 +7,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Set only where the session names no shared checkpoint folder.
+#: Where a session on one machine names no checkpoint folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """UTC, and a folder for checkpoint(): the session's spark.checkpoint.dir, or a local one where that is unset."""
+    """UTC, and a folder for checkpoint(): the session's spark.checkpoint.dir. Where that is unset, a local master gets
+    a local folder; on a cluster it is an error, as checkpoints would be lost with their executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return spark
 
 

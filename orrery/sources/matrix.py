@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import MATRIX_SCHEMA
 
@@ -23,3 +23,13 @@ def matrix_shape(df: DataFrame) -> DataFrame:
     """For each split rows, width, and whether all rows have that width."""
     size = F.size("features")
     return df.groupBy("split").agg(F.count("*").alias("n_rows"), F.max(size).alias("n_features"), (F.min(size) == F.max(size)).alias("is_regular"))
+
+
+def stem(path: Column) -> Column:
+    """A path without its last extension."""
+    return F.regexp_replace(path, r"\.[^./]+$", "")
+
+
+def store_path(path: Column, part: str, split: str, ext: str = "parquet") -> Column:
+    """The place of a part ('X', 'y') of a split beside a source file: its stem, part and split joined by '_', and ext without its dot."""
+    return F.concat(stem(path), F.lit(f"_{part}_{split}.{ext.lstrip('.')}"))

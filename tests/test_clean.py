@@ -55,3 +55,17 @@ def test_offset_falls_back_to_head(spark):
     df = spark.range(10).withColumnRenamed("id", "row_idx")
     assert [r[0] for r in text.offset_sample(df, 8, 5).collect()] == [8, 9]
     assert [r[0] for r in text.offset_sample(df, 100, 2).collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_exact_median(spark, monkeypatch, most):
+    import statistics
+
+    from orrery.functions import clean as C
+
+    monkeypatch.setattr(C, "MEDIAN_VALUES", most)
+    monkeypatch.setattr(C, "MEDIAN_BUCKETS", 7)
+    for values in ([3.0], [2.0] * 40 + [9.0], [float(i * i % 101) for i in range(300)], [1e-300, 1e300, -1e300, 5.0], [0.1 * i for i in range(101)] + [7.0] * 200):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert C.exact_median(df, "v") == statistics.median(values)
+    assert C.exact_median(spark.createDataFrame([(None,)], "v double"), "v") is None

@@ -125,3 +125,67 @@ def test_runs_continue_after_failures(spark):
 
     out = {r["name"]: r["success"] for r in X.run_all(runs, done, run).collect()}
     assert out == {"b": False, "c": True}
+
+
+@pytest.mark.parametrize("shuffle", ["block", "local"])
+@pytest.mark.parametrize("q_super", [1, 3])
+def test_shuffles_equal_plain_loops(points, shuffle, q_super):
+    """Blocks or permuted rows of two shards, one batch of each shard a step."""
+    df, x, y = points
+    net, c = Network(3, 4), X.TrainConfig(mode="minibatch", shuffle=shuffle, q_super=q_super, batch=60, workers=2, epochs=2, warmup=0, lr=0.05, lr_scaling="none", schedule="constant", seed=4)
+    trainer = Trainer(net, c).fit(df)
+    theta, sgd, orders = net.init(c.seed), Sgd(c.momentum, c.clip), []
+    for epoch in (1, 2):
+        steps = []
+        for w, (lo, hi) in enumerate([(0, 250), (250, 500)]):
+            if shuffle == "local":
+                a, b = random_key(250, w + 12_345)
+                steps.append([[lo + i for i in range(250) if (a * i + b) % 250 // 60 == k] for k in range(5)])
+            else:
+                a, b = random_key(5, c.seed + 100 * epoch + w)
+                steps.append([[i for i in range(lo, hi) if (a * ((i - lo) // 60) + b) % 5 == k] for k in range(5)])
+        orders.append(steps)
+        for k in range(5):
+            rows = steps[0][k] + steps[1][k]
+            _, g = net.loss_and_gradient(theta, x[rows], y[rows], c.weight_decay)
+            theta = sgd.step(theta, g, 0.05)
+    assert np.allclose(trainer.theta, theta) and (orders[0] == orders[1]) == (shuffle == "local")
+    assert all(h["compute_time_sum"] > 0 for h in trainer.history)
+
+
+def test_superbatches_equal_single_batches(points):
+    df, _, _ = points
+    theta = [Trainer(Network(3, 4), X.TrainConfig(mode="minibatch", q_super=q, batch=40, epochs=2, warmup=0)).fit(df).theta for q in (1, 4, 100)]
+    assert np.allclose(theta[0], theta[1]) and np.allclose(theta[0], theta[2])
+
+
+def test_times_of_a_message(points):
+    df, _, _ = points
+    m = reduced(df, Network(3, 4), Network(3, 4).init(0))
+    assert m.tasks == 3 and m.compute_time > 0 and m.io_time > 0
+
+
+def test_overlong_runs_are_ended(spark):
+    """A run that would take minutes in Spark is cancelled, and the next one still runs."""
+    import time
+
+    runs = spark.createDataFrame([("a", 600), ("b", 0)], "name string, v int")
+
+    def run(config):
+        if config["v"]:
+            spark.range(0, 1 << 40, numPartitions=4).selectExpr("sum(hash(id))").collect()
+        return 1.0
+
+    began = time.monotonic()
+    out = {r["name"]: (r["success"], r["error"]) for r in X.run_all(runs, spark.createDataFrame([], "name string, success boolean"), run, limit_s=3.0).collect()}
+    assert out == {"a": (False, "over the time limit"), "b": (True, "")} and time.monotonic() - began < 60
+
+
+def test_run_artefacts(spark, tmp_path):
+    from orrery.sources import history as H
+
+    H.write_artefacts(spark, str(tmp_path), "run-1", command="train --hidden 64", stderr="bad\nworse")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/run-1.stderr.txt").collect()] == ["bad", "worse"]
+    assert spark.read.text(f"{tmp_path}/run-1.cmd.txt").first()[0] == "train --hidden 64" and not (tmp_path / "run-1.stdout.txt").exists()
+    H.write_summary(spark, str(tmp_path), {}, spark.createDataFrame([], "name string, success boolean, time double"))
+    assert H.read_summary(spark, str(tmp_path)).first()["results"] == []
