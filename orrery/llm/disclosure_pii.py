@@ -234,3 +234,52 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return rows.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
     return out(cold, base).unionByName(out(hot, F.when(F.col("terms__").isNull(), base).otherwise(F.concat(base, more))))
+
+
+def _oracle() -> str:
+    """The query's rows in SQL: places from the pieces between matches, terms from joins of whole documents."""
+    # The four patterns as the contract states them.
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    number = "regexp_replace(value, '[^0-9]', '', 'g')"
+    doubled = "list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END))"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0",
+        "card": f"length(digits) BETWEEN 13 AND 19 AND {doubled} % 10 = 0",
+        "phone": "length(digits) BETWEEN 9 AND 15",
+    }
+    runs = "[\\p{L}\\p{M}\\p{N}]+"
+
+    def places(kind: str, pattern: str, source: str) -> str:
+        """no, kind, start, stop, value of each match in source's text."""
+        parts = f"SELECT *, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM {source}"
+        each = f"SELECT *, unnest(range(1, len(found) + 1)) AS i FROM ({parts}) AS x"
+        start = "list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0)"
+        return f"SELECT no, '{kind}' AS kind, ({start})::BIGINT AS start, ({start} + length(found[i]))::BIGINT AS stop, found[i] AS value FROM ({each}) AS y"
+
+    found = " UNION ALL ".join(f"SELECT no, {n} AS nth, kind, start, stop, value FROM (SELECT *, {number} AS digits FROM ({places(kind, pattern, 'd')}) AS z) AS w WHERE {checks[kind]}" for n, (kind, pattern) in enumerate(patterns.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in patterns)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS text FROM documents
+), base AS ({found}
+), told AS (SELECT no, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY nth, start) AS b, list(struct_pack(a := start, z := stop, t := '') ORDER BY start, stop) AS marks FROM base GROUP BY no
+), outside AS (SELECT d.no, d.doc_id, d.text, lower(CASE WHEN marks IS NULL THEN d.text ELSE r.t || substr(d.text, r.z + 1) END) AS rest FROM
+    (SELECT d.no, marks, list_reduce(marks, lambda p, m: CASE WHEN m.a >= p.z THEN struct_pack(a := 0::BIGINT, z := m.z, t := p.t || substr(text, p.z + 1, m.a - p.z) || ' ') ELSE struct_pack(a := 0::BIGINT, z := greatest(p.z, m.z), t := p.t) END, struct_pack(a := 0::BIGINT, z := 0::BIGINT, t := '')) AS r FROM d LEFT JOIN told ON d.no = told.no) AS m JOIN d ON d.no = m.no
+), docs AS (SELECT min(no) AS no, doc_id, text, any_value(rest) AS rest FROM outside GROUP BY doc_id, text
+), total AS (SELECT count(*)::DOUBLE AS n FROM docs
+), entity AS (SELECT DISTINCT docs.no, docs.text, kind || ':' || value AS e FROM docs JOIN base ON docs.no = base.no
+), entities AS (SELECT e, count(*) AS n_entity FROM entity GROUP BY e HAVING count(DISTINCT text) >= 3
+), words AS (SELECT no, text, unnest(list_distinct(regexp_extract_all(rest, '{runs}'))) AS term FROM docs
+), terms AS (SELECT term, count(*) AS n_term FROM words GROUP BY term
+), pairs AS (SELECT e, term, count(*) AS n_both FROM entity JOIN words ON entity.no = words.no GROUP BY e, term HAVING count(DISTINCT words.text) >= 3
+), telling AS (SELECT e, term FROM pairs JOIN entities USING (e) JOIN terms USING (term), total
+  WHERE n_entity < n AND log2(n_both * n / (n_entity * n_term::DOUBLE)) / -log2(n_entity / n) >= 0.9::DOUBLE
+), flagged AS (SELECT docs.doc_id, docs.text, list(DISTINCT term) AS ts FROM entity JOIN telling USING (e) JOIN docs ON entity.no = docs.no GROUP BY docs.doc_id, docs.text
+), holders AS (SELECT d.no, d.text, ts FROM d JOIN flagged f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.text = f.text
+), more AS (SELECT p.no, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS t FROM ({places('term', runs, 'holders')}) AS p JOIN holders h ON p.no = h.no WHERE list_contains(ts, lower(value)) GROUP BY p.no)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in patterns)}, sha256(coalesce(b, '')) AS base_sha256, concat_ws(',', b, t) AS spans
+FROM d LEFT JOIN told ON d.no = told.no LEFT JOIN more ON d.no = more.no
+"""
+
+
+ORACLE = _oracle()

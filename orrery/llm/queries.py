@@ -54,4 +54,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_gumbel_segmentation, op3_raked_mixture, op4_chat_snapshots, op5_disclosure_pii, op6_line_frequency_quality, op7_hierarchical_langid, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op3_raked_mixture": raking.ORACLE, "op4_chat_snapshots": chat_snapshots.ORACLE, "op6_line_frequency_quality": line_frequency.ORACLE, "op10_substring_dedup": rlz_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_raked_mixture": raking.ORACLE, "op4_chat_snapshots": chat_snapshots.ORACLE, "op5_disclosure_pii": disclosure_pii.ORACLE, "op6_line_frequency_quality": line_frequency.ORACLE, "op10_substring_dedup": rlz_dedup.ORACLE}

@@ -83,6 +83,35 @@ def test_copies_are_one_content(spark):
     assert "term" not in D.spans(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").first()["spans"]
 
 
+def test_spans_of_fixtures_equal_sql(spark, odd):
+    """Terms, copies, ids with two texts, rows without an id, overlapping spans: the query's SQL on small tables."""
+    import duckdb
+
+    zebulon = [(i, f"Zebulon writes from a@b.com to Quentin {'and so on ' * 60} case{i} bob met x7f9q, said BOB to Xanthippe") for i in range(4)]
+    zebulon += [(100 + i, f"someone writes from here to there {'and so on ' * 30} and met others and said so number{i}") for i in range(100)]
+    shared = [(7, f"entry {i} names quokka with a@b.com here") for i in range(3)] + [(7, "a quokka not at all in this place"), (7, "entry 1 names quokka with a@b.com here"), (None, "entry 9 names quokka with a@b.com here"), (None, None)]
+    shared += [(200 + i, f"other words here {i}") for i in range(60)]
+    for rows in (TRICKY, zebulon, shared, planted(spark).collect(), [(i, f"{t} again") for i in range(5) for _, t in TRICKY]):
+        df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+        con = duckdb.connect()
+        con.register("documents", df.toArrow())
+        names = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+        want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({D.ORACLE})").fetchall(), key=str)
+        assert sorted((tuple(r[n] for n in names) for r in D.spans(df).collect()), key=str) == want
+    assert any("term" in r["spans"] for r in D.spans(spark.createDataFrame(shared, "doc_id long, text string")).collect())
+
+
+@pytest.mark.parametrize("slots", [1, 64])
+def test_terms_do_not_depend_on_full_filters(spark, monkeypatch, slots):
+    """Filters that are full let everything pass, and nothing changes."""
+    from orrery.llm import common
+
+    df = planted(spark)
+    want = {r["doc_id"]: r["spans"] for r in D.spans(df).collect()}
+    monkeypatch.setattr(common, "SLOTS", slots)
+    assert {r["doc_id"]: r["spans"] for r in D.spans(df).collect()} == want
+
+
 def test_odd_rows_of_pii(odd, none):
     got = D.spans(odd).collect()
     assert len(got) == odd.count() and D.spans(none).count() == 0
@@ -165,7 +194,7 @@ def test_template_of_many_lines(spark, monkeypatch, few):
     assert {r["text"] for r in Q.clean(df, min_kept=0.01).collect()} == {t.split("\n")[-1] for _, t, _ in rows}
 
 
-@pytest.mark.parametrize("name", ["op3_raked_mixture", "op6_line_frequency_quality", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_raked_mixture", "op5_disclosure_pii", "op6_line_frequency_quality", "op10_substring_dedup"])
 def test_query_equals_sql(spark, data, name):
     same_rows(spark, data, queries.QUERIES[name], queries.ORACLES[name])
 
@@ -186,6 +215,57 @@ def test_held_out_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_predictions_equal_plain_votes(spark, docs):
+    """Every text's grams, margins and votes by plain loops, with the machines that the operator fits."""
+    x, langs = L.sample(docs, 2000, 256, "doc_id", "text", "lang")
+    m = L.Machines(x, langs, L.FAMILIES)
+    families = {f: [la for la in sorted(set(langs)) if la in L.FAMILIES.get(f, (f.removeprefix("only "),))] for f in m.members}
+    assert families == m.members
+
+    def bucket(grams):
+        out = []
+        for g in grams:
+            c = [ord(x) for x in g]
+            a = c[0] * 2654435761 % 2**32
+            if len(c) == 1:
+                out.append(a)
+                continue
+            pair = lambda p, q: (q * 2654435761 ^ (p * 2246822519 + 374761393)) % 2**32
+            out.append(pair(*c) * 2654435761 % 2**32 if len(c) == 2 else ((pair(c[1], c[2]) * 3266489917 % 2**32) ^ ((a + 668265263) % 2**32)) * 2654435761 % 2**32)
+        return [v >> 19 for v in out]
+
+    def vote(names, margin):
+        if len(names) == 1:
+            return names[0]
+        wins = {n: [0, 0.0] for n in names}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                for n, won, size in ((a, margin[a, b] >= 0, margin[a, b]), (b, margin[a, b] < 0, -margin[a, b])):
+                    wins[n] = [wins[n][0] + won, wins[n][1] + size]
+        return max(names, key=lambda n: wins[n])
+
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs).collect()}
+    agree = 0
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows:
+        t = f" {''.join(c if c.isalpha() else ' ' for c in (r['text'] or '').lower())} "
+        t = re.sub(" +", " ", t)
+        if not t.strip():
+            agree += got[r["doc_id"]] == "und"
+            continue
+        grams = bucket(t) + bucket(t[i : i + 2] for i in range(len(t) - 1)) + bucket(t[i : i + 3] for i in range(len(t) - 2))
+        margin = dict(zip(m.pairs, (m.weights[grams].astype(float).sum(0) / len(grams)).tolist()))
+        agree += got[r["doc_id"]] == vote(families[vote(list(families), margin)], margin)
+    assert len(got) == len(rows) == agree
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text the and {i}", "en") for i in range(3000)] + [(5000 + i, f"texte les une {i}", "fr") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, langs = L.sample(df, 100, 10, "doc_id", "text", "lang")
+    assert 60 <= len(langs) <= 200 and 25 <= langs.count("fr") <= 40
+
+
 def test_languages_of_odd_rows(spark, odd, none):
     got = {r["doc_id"]: r for r in L.identify(odd).collect()}
     assert len(got) == 7 and got[2]["lang_pred"] == got[3]["lang_pred"] == got[4]["lang_pred"] == "und"

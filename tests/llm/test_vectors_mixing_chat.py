@@ -189,6 +189,76 @@ def test_given_targets_and_odd_rows(spark, odd, none):
     assert R.mixed_documents(odd).columns == odd.columns
 
 
+def test_small_sources_with_targets_stand_alone(spark):
+    """A source of a thousandth of the tokens with a target of a fifth of the sample is kept whole; the marginals say what was not met."""
+    rows = [(i, "w " * 10, "en", "rare" if i < 2 else "tail" + str(i % 400) if i < 802 else "big", 10 if i < 1000 else 30) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
+    share = {"rare": 0.2, "big": 0.8}
+    out = {r["source"]: r["p"] for r in R.mix(df, fraction=0.5, targets={"source": share}).groupBy("source").agg(F.max("probability").alias("p")).collect()}
+    assert out["rare"] == 1.0 and 0 < out["big"] <= 1 and all(p == 0 for s, p in out.items() if s.startswith("tail"))
+    met = {(r["dimension"], r["name"]): r for r in R.marginals(df, fraction=0.5, targets={"source": share}).collect()}
+    assert not met["source", "rare"]["met"] and met["source", "rare"]["fitted"] == pytest.approx(20.0) and met["source", "rare"]["wanted"] == pytest.approx(2000.0)
+    easy = R.marginals(df, fraction=0.3).collect()
+    assert all(r["met"] for r in easy) and sum(r["fitted"] for r in easy if r["dimension"] == "source") == pytest.approx(6000.0)
+    # the pool weighs as much as its members do on their own
+    pool = next(r for r in easy if r["name"] == R.POOLED)
+    own = [r["present"] ** 0.9 for r in easy if r["dimension"] == "source" and r["name"] != R.POOLED]
+    tail = 400 * 20.0**0.9 + 20.0**0.9
+    assert pool["wanted"] == pytest.approx(6000 * tail / (tail + sum(own)), rel=1e-3)
+    counted = R.mix(df, tokens_col="tokens")
+    assert counted.agg(F.sum("n_tokens")).first()[0] == 40_000
+
+
+def test_more_samples_than_the_best_region_has(spark):
+    """All segmentations of short texts are emitted, each once, also where the best region is empty."""
+    v = G.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 0.5)
+    for text in ("a b", "the of", "is it", "zq"):
+        every = segmentations(text, v)
+        keys = np.random.default_rng(len(text)).integers(0, 2**63, 40, dtype=np.uint64)
+        got = G.sample_texts([text] * 40, keys, len(every) + 5, v)
+        by = {}
+        for row, ids in zip(got["row"], got["ids"]):
+            by.setdefault(row, []).append(tuple(ids.tolist()))
+        assert all(len(set(x)) == len(x) for x in by.values())
+        assert all(set(x) <= set(every) for x in by.values())
+        assert min(map(len, by.values())) >= sum(p > 1e-9 for p in every.values())
+
+
+def test_texts_are_spelled_as_the_library_does(spark):
+    """Ids with controls, bytes that are no UTF-8, marks in a row, empty and null ids."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    mark = m.piece_to_id(G.SPACE)
+    seqs = [m.encode("plain text"), [], [1, *m.encode("with bos"), 2], [m.piece_to_id("<0xE2>"), m.piece_to_id("<0x82>")], [mark, mark, *m.encode("x")], m.encode("日本 😀 é"), [0], None, m.encode(" two  spaces ")]
+    df = spark.createDataFrame([(i, s, "kept") for i, s in enumerate(seqs)], "n int, ids array<int>, text string")
+    got = {r["n"]: r["text"] for r in G.decode(df, path).collect()}
+    assert got == {i: None if s is None else m.decode(s) for i, s in enumerate(seqs)}
+
+
+def test_very_long_texts_without_spaces(spark):
+    from orrery.llm import token_counts as K
+
+    rows = [(1, "ab" * 60_000), (2, "😀" * 30_000), (3, None), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = G.encode(df, public_tokenizers.path("piece_bpe_32k.model"), with_text=True).collect()
+    assert sorted((r["doc_id"], len(r["decoded"])) for r in got if r["sample"] == 1) == [(1, 120_000), (2, 30_000), (3, 0), (3, 1)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in K.count_tokens(df, path).collect()) == sorted((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+
+
+def test_chats_with_clashing_columns_and_rows_without_an_id(spark):
+    """Columns named as the operator's own; rows without an id are one conversation."""
+    rows = [(1, 0, "user", "hi", 9, "x", 5), (1, 1, "assistant", "yes", 9, "x", 5), (None, 0, "user", "hi", 9, "x", 5), (None, 1, "user", "more", 9, "x", 5), (2, 0, "user", "hi", 9, "x", 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv long, mark string, place long")
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in C.collapse(df).collect()}
+    assert got == {1: (2, 1), None: (2, 1)}
+
+
 def test_chats_equal_sql(spark, data):
     same_rows(spark, data, queries.op4_chat_snapshots, queries.ORACLES["op4_chat_snapshots"])
 
