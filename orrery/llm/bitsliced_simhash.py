@@ -34,9 +34,11 @@ BITS = 64
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 CHUNK = 1 << 15
 #: similar_groups: lists, bits of a list's key, and the distances at which it links in turn.
-LISTS, KEY_BITS, WIDE = 64, 14, (4, 10, 18, 31)
+LISTS, KEY_BITS, WIDE = 64, 14, (8, 18, 28, 34)
 #: Members of a list that are compared as one; longer lists are compared chunk by chunk.
 LIST_MEMBERS = 4_096
+#: Members whose lists are compared side by side.
+SIDE_BY_SIDE = 1 << 18
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -77,34 +79,51 @@ def masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in kept]
 
 
-def shifted(plane: np.ndarray, s: int) -> np.ndarray:
-    """The plane with lane i + s at lane i."""
-    words, bits = divmod(s, 64)
-    a = plane[words:]
-    if bits:
-        a = (a >> np.uint64(bits)) | np.append(a[1:] << np.uint64(64 - bits), np.uint64(0))
-    return np.append(a, np.zeros(words, np.uint64))
+def side_by_side(batches, members):
+    """The lists of Arrow batches (members: their arrays, from a batch), some SIDE_BY_SIDE members at a time, long lists first, with their sizes."""
+    held, size = [], 0
+
+    def taken():
+        held.sort(key=len, reverse=True)
+        return np.concatenate(held), np.array([len(x) for x in held])
+
+    for batch in batches:
+        for part in members(batch):
+            held.append(part)
+            size += len(part)
+            if size >= SIDE_BY_SIDE:
+                yield taken()
+                held, size = [], 0
+    if held:
+        yield taken()
 
 
 def near_lanes(planes: np.ndarray, s: int, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """Which of lanes (bit-packed) hold members i and i + s at a distance of at most radius.
+    """Which of lanes (bit-packed) hold members i and i + s at a distance of at most radius. Planes end with s // 64 + 2 words of no member at least.
 
-    Carry-save counters: over is set once a distance passes radius. Words without a lane left are dropped."""
+    Carry-save counters: a lane goes once its distance passes radius. Words without a lane left are dropped."""
     live = np.flatnonzero(lanes)
     out = np.zeros_like(lanes)
     left = lanes[live].copy()
+    skip, bits = divmod(s, 64)
+    low, high = np.uint64(bits), np.uint64(64 - bits)
     digits = radius.bit_length()
+    exact = [(radius + 1) >> d & 1 for d in range(digits)]
     counters = [np.zeros(len(live), np.uint64) for _ in range(digits)]
-    for b in range(len(planes)):
-        carry = (planes[b] ^ shifted(planes[b], s))[live]
+    for b, plane in enumerate(planes):
+        carry = plane.take(live + skip)
+        if bits:
+            carry >>= low
+            carry |= plane.take(live + (skip + 1)) << high
+        carry ^= plane.take(live)
         for d in range(digits):
             counters[d], carry = counters[d] ^ carry, counters[d] & carry
         left &= ~carry
-        if radius + 1 < 1 << digits:
-            passed = np.full(len(live), ~np.uint64(0))
+        if b >= radius and any(exact):
+            passed = left.copy()
             for d in range(digits):
-                passed &= counters[d] if (radius + 1) >> d & 1 else ~np.uint64(0)
-            left &= ~passed
+                passed &= counters[d] if exact[d] else ~counters[d]
+            left ^= passed
         if b % 8 == 7:
             stay = left != 0
             if not stay.any():
@@ -115,10 +134,10 @@ def near_lanes(planes: np.ndarray, s: int, lanes: np.ndarray, radius: int) -> np
     return out
 
 
-def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """Plane b holds bit b of every row of fps (rows of 64-bit words), lane by lane."""
+def bit_planes(fps: np.ndarray, reach: int) -> np.ndarray:
+    """Plane b holds bit b of every row of fps (rows of 64-bit words), lane by lane, with room behind for shifts up to reach."""
     n = len(fps)
-    words = -(-n // 64)
+    words = -(-n // 64) + reach // 64 + 2
     bits = np.zeros((fps.shape[1] * BITS, words * 64), np.uint8)
     bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
@@ -138,16 +157,16 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(planes: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, i, j): for lists laid end to end (sizes sorted downwards), pairs of places within radius whose labels differed when their distance in
     the list came up, and labels with them. Place i is compared with i + s for every s within its list."""
-    planes = bit_planes(fps)
-    n, words = len(fps), planes.shape[1]
+    n = len(label)
     ends = np.repeat(np.cumsum(sizes), sizes)
     place = np.arange(n)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, int(sizes[0])):
         most = int(sizes[sizes > s].sum())  # lists long enough come first
+        words = -(-most // 64)
         inside = np.zeros(words * 64, np.uint8)
         inside[:most] = (place[:most] + s < ends[:most]) & (label[:most] != label[np.minimum(place[:most] + s, n - 1)])
         if not inside.any():
@@ -163,7 +182,7 @@ def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarra
 
 def forest(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     """For lists of fingerprints laid end to end (sizes sorted downwards), the least linked place of each."""
-    return near_pairs(fps.reshape(-1, 1), sizes, radius, np.arange(len(fps)))[0]
+    return near_pairs(bit_planes(fps.reshape(-1, 1), int(sizes[0])), sizes, radius, np.arange(len(fps)))[0]
 
 
 def link_edges(distinct: DataFrame, radius: int) -> DataFrame:
@@ -173,27 +192,16 @@ def link_edges(distinct: DataFrame, radius: int) -> DataFrame:
     posted = distinct.repartition(partitions(distinct.sparkSession), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choices])).alias("list", "key"))
     lists = posted.groupBy("list", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
+    def members(batch):
+        column = batch.column(0)
+        flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        return (np.sort(flat[a:z]) for a, z in zip(offsets[:-1], offsets[1:]))
+
     def body(batches):
-        def edges(lists: list[np.ndarray]):
-            lists.sort(key=len, reverse=True)
-            sizes = np.array([len(x) for x in lists])
-            flat = np.concatenate(lists)
+        for flat, sizes in side_by_side(batches, members):
             label = forest(flat.view(np.uint64), sizes, radius)
             i = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_pydict({"u": flat[label[i]], "v": flat[i]})
-
-        for batch in batches:
-            column = batch.column(0)
-            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            held, size = [], 0
-            for a, z in zip(offsets[:-1], offsets[1:]):
-                held.append(np.sort(flat[a:z]))
-                size += z - a
-                if size >= 1 << 16:
-                    yield edges(held)
-                    held, size = [], 0
-            if held:
-                yield edges(held)
+            yield pa.RecordBatch.from_pydict({"u": flat[label[i]], "v": flat[i]})
 
     return lists.mapInArrow(body, "u long, v long").distinct()
 
@@ -311,32 +319,18 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     lists = posted.withColumn("part", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)))
     lists = lists.groupBy("list", "key", "part").agg(F.collect_list(F.struct("content", "hi", "lo")).alias("members")).where(F.size("members") > 1).select("members")
 
+    def members(batch):
+        column = batch.column(0)
+        rows = np.stack([f.to_numpy() for f in column.flatten().flatten()], axis=1)
+        offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+        return (rows[a:z][np.argsort(rows[a:z, 0])] for a, z in zip(offsets[:-1], offsets[1:]))
+
     def body(batches):
-        def edges(lists: list[np.ndarray]):
-            lists.sort(key=len, reverse=True)
-            sizes = np.array([len(x) for x in lists])
-            flat = np.concatenate(lists)
-            label, pairs = np.arange(len(flat)), []
+        for flat, sizes in side_by_side(batches, members):
+            label, planes = np.arange(len(flat)), bit_planes(np.ascontiguousarray(flat[:, 1:]).view(np.uint64), int(sizes[0]))
             for radius in WIDE:
-                label, i, j = near_pairs(flat[:, 1:].view(np.uint64), sizes, radius, label)
-                pairs.append((flat[i, 0], flat[j, 0]))
-            u, v = (np.concatenate(x) for x in zip(*pairs))
-            return pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-        for batch in batches:
-            column = batch.column(0)
-            rows = np.stack([f.to_numpy() for f in column.flatten().flatten()], axis=1)
-            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            held, size = [], 0
-            for a, z in zip(offsets[:-1], offsets[1:]):
-                part = rows[a:z]
-                held.append(np.ascontiguousarray(part[np.argsort(part[:, 0])]))
-                size += z - a
-                if size >= 1 << 16:
-                    yield edges(held)
-                    held, size = [], 0
-            if held:
-                yield edges(held)
+                label, i, j = near_pairs(planes, sizes, radius, label)
+                yield pa.RecordBatch.from_pydict({"u": np.minimum(flat[i, 0], flat[j, 0]), "v": np.maximum(flat[i, 0], flat[j, 0])})
 
     return lists.mapInArrow(body, "u long, v long").where("u != v").distinct()
 
