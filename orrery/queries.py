@@ -88,9 +88,12 @@ def trips_calendar_parts(spark, d):
     return C.with_calendar(trips(spark, d)).drop(*RAW, "pickup", "dropoff")
 
 
-@query(f"WITH {TRIPS} SELECT row_idx, round(CAST(CAST(time_on_taxi AS FLOAT) AS DOUBLE), 3) AS time_on_taxi, round(CAST(CAST(total_amount AS FLOAT) AS DOUBLE), 3) AS total_amount, CAST(passenger_count AS DOUBLE) AS passenger_count FROM whole")
+EIGHT_SQL = ", ".join(f'round(CAST(CAST("{c}" AS FLOAT) AS DOUBLE), 3) AS "{c}"' for c in (*FEATURES_8, TARGET))
+
+
+@query(f"WITH {TRIPS} SELECT row_idx, {EIGHT_SQL} FROM whole")
 def trips_engineer_8(spark, d):
-    return rounded(C.engineer_8(trips(spark, d)), 3).select("row_idx", "time_on_taxi", TARGET, "passenger_count")
+    return rounded(C.engineer_8(trips(spark, d)), 3)
 
 
 @query(f"WITH {TRIPS} SELECT row_idx, {NUMBERS_SQL}, {PARTS_SQL}, round(trip_duration, 6) AS trip_duration, total_amount FROM rides")
@@ -403,11 +406,23 @@ def scan_row_counts(spark, d):
 
 @query(f"WITH {TRIPS}, s AS (SELECT CASE WHEN (7919 * row_idx + 104729) % {_N} < floor(0.3 * {_N}) THEN 'test' ELSE 'train' END AS split FROM whole) SELECT split, count(*) AS n_rows, 8 AS n_features, true AS is_regular FROM s GROUP BY 1")
 def matrix_round_trip(spark, d):
+    return M.matrix_shape(M.read_matrix(spark, _written_matrix(spark, d)))
+
+
+def _written_matrix(spark, d):
     raw = trips(spark, d)
     rows = C.assemble(C.engineer_8(raw), FEATURES_8)
     path = work_folder(spark, "matrix")
     M.write_matrix(W.exact_split(rows, raw.count(), key=(7919, 104729)), path)
-    return M.matrix_shape(M.read_matrix(spark, path))
+    return path
+
+
+@query(f"WITH {TRIPS} SELECT row_idx, {EIGHT_SQL} FROM whole WHERE (7919 * row_idx + 104729) % {_N} < floor(0.3 * {_N})")
+def matrix_test_split(spark, d):
+    """The values of the test split, written and read back."""
+    rows = M.read_matrix(spark, _written_matrix(spark, d), "test")
+    features = [F.col("features")[i].alias(c) for i, c in enumerate(FEATURES_8)]
+    return rounded(rows.select("row_idx", *features, F.col("label").alias(TARGET)), 3)
 
 
 # A run's test error and loss by epoch: falling as 1 / epoch, with a bump at the fourth and a plateau from the seventh on.
@@ -468,6 +483,15 @@ def nn_gradient(spark, d):
     return rounded(spark.createDataFrame([(i, float(g)) for i, g in enumerate(m.gradient / m.n)], "i int, gradient double"), 5)
 
 
+@query("SELECT (i - 1)::INTEGER AS i, t[i]::DOUBLE AS theta FROM (SELECT [" + ", ".join(f"{float(x)!r}" for x in THETA) + "] AS t) AS x, range(1, 10) AS r(i)")
+def theta_round_trip(spark, d):
+    """M3: unpacked and packed again, through a trainer's accessors."""
+    net = Network(2, 2)
+    trainer = Trainer(net)
+    trainer.set_params(net.pack(*net.unpack(THETA)))
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(trainer.get_params())], "i int, theta double")
+
+
 @query("WITH p AS (SELECT value / 100 AS x, value / 50 AS y FROM events) SELECT round(avg((0.3 * x + 0.1 - y) * x), 6) AS g_w, round(avg(0.3 * x + 0.1 - y), 6) AS g_b FROM p")
 def linear_gradient(spark, d):
     x, y = F.col("value") / 100, F.col("value") / 50
@@ -728,6 +752,14 @@ def trained(spark: SparkSession, d: str, **settings) -> Trainer:
         test.unpersist()
 
 
+@query(f"{_steps_sql(['row_idx % 2 = 0'], **_RULE)} {_THETA_SQL.format(t='t1')}")
+def train_transformed_theta(spark, d):
+    """A transform of the caller's, applied before an epoch of training."""
+    c = X.TrainConfig(mode="full_batch", hidden=2, epochs=1, warmup=0, schedule="constant", lr=_RULE["lr"], momentum=_RULE["momentum"], clip=_RULE["clip"], weight_decay=_RULE["decay"])
+    points = _points(table(spark, d, "events"))
+    return _theta(spark, Trainer(Network(2, 2), c, THETA.copy()).fit(points, transform=lambda df: df.where("row_idx % 2 = 0")))
+
+
 @query()
 def train_full_batch(spark, d):
     return H.history_frame(spark, trained(spark, d, mode="full_batch").history)
