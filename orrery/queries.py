@@ -744,7 +744,7 @@ def trained(spark: SparkSession, d: str, **settings) -> Trainer:
     train, test = (x.persist() for x in training_sets(spark, d))
     if settings["mode"] == "minibatch":
         settings = {"batch": max(256, -(-train.count() // 8))} | settings
-    config = X.TrainConfig(hidden=16, epochs=3, warmup=0, lr=0.05, schedule="constant", weight_decay=0.0, **settings)
+    config = X.TrainConfig(**{"hidden": 16, "epochs": 3, "warmup": 0, "lr": 0.05, "schedule": "constant", "weight_decay": 0.0} | settings)
     try:
         return Trainer(Network(len(FEATURES_16), config.hidden, config.activation), config).fit(train, test)
     finally:
