@@ -252,11 +252,17 @@ def test_very_long_texts_without_spaces(spark):
 
 
 def test_chats_with_clashing_columns_and_rows_without_an_id(spark):
-    """Columns named as the operator's own; rows without an id are one conversation."""
-    rows = [(1, 0, "user", "hi", 9, "x", 5), (1, 1, "assistant", "yes", 9, "x", 5), (None, 0, "user", "hi", 9, "x", 5), (None, 1, "user", "more", 9, "x", 5), (2, 0, "user", "hi", 9, "x", 5)]
+    """Columns named as the operator's own; each turn without an id is a conversation, by the query's SQL too."""
+    import duckdb
+
+    rows = [(1, 0, "user", "hi", 9, "x", 5), (1, 1, "assistant", "yes", 9, "x", 5), (None, 0, "user", "hi", 9, "x", 5), (None, 1, "user", "more", 9, "x", 5), (None, 1, "user", "more", 9, "x", 5)]
+    rows += [(2, 0, "user", "hi", 9, "x", 5), (3, 4, "user", "more", 9, "x", 5), (None, None, None, None, 9, "x", 5), (None, 7, "user", "last", 9, "x", 5)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv long, mark string, place long")
-    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in C.collapse(df).collect()}
-    assert got == {1: (2, 1), None: (2, 1)}
+    got = sorted(((r["conv_id"], r["n_turns"], r["n_copies"], r["rendered"]) for r in C.collapse(df).collect()), key=str)
+    assert [g[:3] for g in got] == [(1, 2, 1), (3, 1, 2), (None, 1, 1), (None, 1, 1)]
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    assert sorted(con.execute(f"SELECT conv_id, n_turns, n_copies, rendered FROM ({C.ORACLE})").fetchall(), key=str) == got
 
 
 def test_chats_equal_sql(spark, data):
