@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bit_filter, byte_texts, content_of, external_id, internal_id, partitions, passing, prepared, signed
+from .common import bit_filter, byte_texts, content_of, external_id, internal_id, partitions, passing, prepared, release_memory, signed
 
 BITS = 64
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
@@ -189,7 +189,7 @@ def link_edges(distinct: DataFrame, radius: int) -> DataFrame:
     """u, v: edges that connect all distinct fingerprints (fp) within radius, as a forest per list."""
     choices = masks(radius)
     # fingerprints are few bytes, which adaptive plans put into few tasks; each is many rows from here on
-    posted = distinct.repartition(partitions(distinct.sparkSession), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choices])).alias("list", "key"))
+    posted = distinct.repartition(partitions(distinct.sparkSession), F.xxhash64("fp")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choices])).alias("list", "key"))
     lists = posted.groupBy("list", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def members(batch):
@@ -202,6 +202,7 @@ def link_edges(distinct: DataFrame, radius: int) -> DataFrame:
             label = forest(flat.view(np.uint64), sizes, radius)
             i = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_pydict({"u": flat[label[i]], "v": flat[i]})
+        release_memory()
 
     return lists.mapInArrow(body, "u long, v long").distinct()
 
@@ -331,6 +332,7 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
             for radius in WIDE:
                 label, i, j = near_pairs(planes, sizes, radius, label)
                 yield pa.RecordBatch.from_pydict({"u": np.minimum(flat[i, 0], flat[j, 0]), "v": np.maximum(flat[i, 0], flat[j, 0])})
+        release_memory()
 
     return lists.mapInArrow(body, "u long, v long").where("u != v").distinct()
 

@@ -13,6 +13,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -94,6 +95,15 @@ def passing(rows: DataFrame, key: Column, filter: DataFrame, *, others: bool = F
     return joined.drop("at__", "mask__") if keep else joined.drop("at__", "mask__", "limit__")
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system. Spark keeps a Python worker for later tasks, which then hold what this one needed at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

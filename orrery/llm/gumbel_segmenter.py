@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, mixed, prepared
+from .common import byte_texts, mixed, prepared, release_memory
 
 #: Bytes of text worked on at once.
 WORK_BYTES = 3 << 19
@@ -537,6 +537,9 @@ def encode(docs: DataFrame, model: str, *, k: int = 2, seed: int = 5, scores: st
                         cols["decoded"] = speller.texts(flat, offsets)
                     yield pa.RecordBatch.from_pydict(cols)
                     a, size = z, 0
+            del texts, keys
+        del vocabulary, speller
+        release_memory()
 
     return rows.mapInArrow(body, "doc_id long, sample int, n_tokens long, log_prob double, score double, log_inclusion double, ids_hash long, ids array<int>" + ", decoded string" * with_text)
 

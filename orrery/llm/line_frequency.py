@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, byte_texts, content_of, external_id, gram_hashes, hash_words, internal_id, mixed, prepared
+from .common import SPACES, byte_texts, content_of, external_id, gram_hashes, hash_words, internal_id, mixed, prepared, release_memory
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -155,6 +155,7 @@ def verdicts(docs: DataFrame, *, min_docs: int = 5, share: float = 0.05, min_wor
     def counted(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"did": batch.column(0), "content": batch.column(1), **base_counts(byte_texts(batch.column(2)))})
+        release_memory()
 
     texts = docs.select(internal_id(id_col).alias("did"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text"))
     gone = lines_to_remove(docs, min_docs=min_docs, share=share, id_col=id_col, text_col=text_col, host_col=host_col)
